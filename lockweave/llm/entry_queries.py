@@ -17,6 +17,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockweave.llm.pii import find
+
+    return find(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lockweave.llm.toxicity import fit, score
 
@@ -43,6 +49,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_simhash": op3_simhash,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
