@@ -37,13 +37,15 @@ WIDTH, STRIDE = 32, 24
 #: Words of a sentence at most; longer ones are cut.
 SENTENCE = 32
 #: Documents of each label that the model is fitted on, in expectation.
-MOST = 6000
+MOST = 3000
 #: Landmarks from toxic and from clean documents.
 BAD, PLAIN = 96, 32
 #: Standard deviations that a subsequence's excess in toxic documents must pass to count for landmarks.
 PROOF = 4.0
 #: Landmarks are no closer to each other than this power of the kernel.
 ALIKE = 0.4
+#: Kernels up to this are taken as none in training and scoring alike.
+FAINT = 0.02
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
 MEMORY = 400_000
 
@@ -58,7 +60,7 @@ def tokens(text: str) -> list[str]:
     return [*text.replace("\n", " \0 ").split(), *["\0"] * bool(spaced), *spaced]
 
 
-def subsequences(words: list[str]):
+def subsequences(words: list[str], steps=STEPS):
     """Of each word window: the word's number, the subsequences' keys and their weights (0: none there)."""
     import numpy as np
 
@@ -73,9 +75,9 @@ def subsequences(words: list[str]):
     if n:
         flat = np.array(windows, f"U{wide}").view(np.uint32).reshape(n, wide)
         code[:, :wide] = flat
-    keys = np.zeros((n, len(STEPS), wide), np.int64)
-    weight = np.zeros((n, len(STEPS), wide), np.float32)
-    for k, (a, b, by) in enumerate(STEPS):
+    keys = np.zeros((n, len(steps), wide), np.int64)
+    weight = np.zeros((n, len(steps), wide), np.float32)
+    for k, (a, b, by) in enumerate(steps):
         third = code[:, b : b + wide]
         keys[:, k] = code[:, :wide] << 42 | code[:, a : a + wide] << 21 | third
         weight[:, k] = np.where(third > 0, by, 0)
@@ -109,13 +111,13 @@ class Landmarks:
 
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
-    def kernel(self, words: list[str]):
+    def kernel(self, words: list[str], step: int = 4096):
         """Kernel of each word with each landmark; a long word counts by its closest window."""
         import numpy as np
 
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for at in range(0, len(words), 4096):
-            owner, keys, weight = subsequences(words[at : at + 4096])
+        for at in range(0, len(words), step):
+            owner, keys, weight = subsequences(words[at : at + step])
             norm = np.sqrt((weight**2).sum(1) + 1e-9)
             row, col = np.nonzero((weight > 0) & self.seen[self._slot(keys)])
             key, w = keys[row, col], weight[row, col]
@@ -142,11 +144,12 @@ def starts_of(ends, docs):
     return np.flatnonzero(new | ((np.arange(n) - begin) % SENTENCE == 0))
 
 
-def sum_by_core(counts: Counter) -> Counter:
+def sum_by_core(counts: dict[str, int]) -> Counter:
     """The counts of words without the signs around them."""
     out: Counter = Counter()
     for w, n in counts.items():
-        out[_EDGE.sub("", w)] += n
+        if n:
+            out[_EDGE.sub("", w)] += n
     return out
 
 
@@ -190,7 +193,8 @@ class Model:
             news = list({w for ws in lists for w in ws if w not in place})
             if news:
                 place.update(zip(news, range(len(value), len(value) + len(news)), strict=True))
-                found = marks.kernel(news).astype(np.float64) @ beta if self.words else np.zeros(len(news))
+                near = marks.kernel(news) if self.words else np.zeros((len(news), 0))
+                found = np.where(near > FAINT, near, 0).astype(np.float64) @ beta
                 value, stops = np.concatenate((value, found)), np.concatenate((stops, [ends_sentence(w) for w in news]))
             most = np.full(len(texts), self.bias)
             if any(lists):
@@ -219,36 +223,57 @@ def _svm(x, y, weight, c: float = 10.0, rounds: int = 30):
     return w
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
-    """Fit on the texts' sentences.  With one label only, the model is that label's share for every text."""
+class Bags:
+    """Training documents as numbers of their words, one word string being kept once."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.docs: list = []
+        self.toxic: list[bool] = []
+
+    def add(self, text: str, toxic: bool) -> None:
+        import numpy as np
+
+        place = self.place
+        self.docs.append(np.array([place.setdefault(w, len(place)) for w in tokens(text)], np.int32))
+        self.toxic.append(toxic)
+
+
+def _evidence(both: list[str], tox: Counter, plain: Counter, n_tox: int, n_plain: int):
+    """For each word the summed surprise of its three-character strings, over the root of their number."""
+    import numpy as np
+
+    words, strings = [], []
+    for at in range(0, len(both), 8192):
+        owner, keys, weight = subsequences(both[at : at + 8192], STEPS[:1])
+        row, col = np.nonzero(weight)
+        words.append(owner[row] + at)
+        strings.append(keys[row, col])
+    word_of = np.concatenate(words)
+    _, inverse = np.unique(np.concatenate(strings), return_inverse=True)
+    count = lambda by: np.bincount(inverse, np.array([by[w] for w in both], float)[word_of])
+    proof = surprise(count(tox), count(plain), n_tox, n_plain)[inverse]
+    return np.bincount(word_of, proof, len(both)) / np.sqrt(np.maximum(1, np.bincount(word_of, minlength=len(both))))
+
+
+def train(bags: Bags, seed: int = 7) -> Model:
+    """Fit on the documents' sentences.  With one label only, the model is that label for every text."""
     import numpy as np
 
-    y = np.array(toxic, bool)
+    y = np.array(bags.toxic, bool)
     if not y.any() or y.all():
         return Model([], [], 0.0, 0.0, 50.0 if len(y) and y.all() else -50.0)
     rng = np.random.default_rng(seed)
-    lists = [tokens(t) for t in texts]
-    tox, plain = Counter(), Counter()
-    for ws, bad in zip(lists, y, strict=True):
-        (tox if bad else plain).update(set(ws))
-    # a subsequence's evidence: how much more often the toxic documents hold it
-    tox, plain = (sum_by_core(c) for c in (tox, plain))
-    vocab = [w for w in tox if 3 <= len(w) <= WIDTH]
+    place, lists, names = bags.place, bags.docs, list(bags.place)
+    tox, plain = (np.bincount(np.concatenate([np.unique(d) for d, bad in zip(lists, y, strict=True) if bad == want]), minlength=len(names)) for want in (True, False))
+    tox, plain = (sum_by_core(dict(zip(names, c.tolist(), strict=True))) for c in (tox, plain))
+    vocab = [w for w in tox if tox[w] and 3 <= len(w) <= WIDTH]
     both = list(dict.fromkeys([*vocab, *plain]))
-    owner, keys, weight = subsequences(both)
-    whole = weight == 1.0
-    row, col = np.nonzero(whole)
-    uniq, inverse = np.unique(keys[row, col], return_inverse=True)
-    word_of = owner[row]
-    hits = np.bincount(inverse, np.array([tox[w] for w in both], float)[word_of], len(uniq))
-    misses = np.bincount(inverse, np.array([plain[w] for w in both], float)[word_of], len(uniq))
-    proof = surprise(hits, misses, y.sum(), (~y).sum())[inverse]
-    n = np.maximum(1, np.bincount(word_of, minlength=len(both)))
-    rank = (np.bincount(word_of, proof, len(both)) / np.sqrt(n))[: len(vocab)]
+    rank = _evidence(both, tox, plain, y.sum(), (~y).sum())[: len(vocab)]
     rank = rank + surprise(np.array([tox[w] for w in vocab], float), np.array([plain[w] for w in vocab], float), y.sum(), (~y).sum())
     chosen: list[str] = []
-    order = [vocab[i] for i in np.argsort(-rank, kind="stable")[: 40 * BAD] if rank[i] > 0]
-    near = Landmarks(order).kernel(order)
+    order = [vocab[i] for i in np.argsort(-rank, kind="stable")[: 16 * BAD] if rank[i] > 0]
+    near = Landmarks(order).kernel(order, step=32)
     blocked = np.zeros(len(order), bool)
     for i, w in enumerate(order):
         if not blocked[i] and len(chosen) < BAD:
@@ -261,12 +286,20 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
     keep = val > 1e-3
     white = vec[:, keep] / np.sqrt(val[keep])
-    place = {w: i for i, w in enumerate({w for ws in lists for w in ws})}
-    feature = marks.kernel(list(place)).astype(np.float32)
-    stops = np.array([ends_sentence(w) for w in place], bool)
-    at = np.array([place[w] for ws in lists for w in ws], np.int64)
+    row_of, rows, kept = np.zeros(len(names), np.int32), [np.zeros((1, len(words)), np.float32)], 1
+    for i in range(0, len(names), 8192):  # words far from every landmark share a row of zeros
+        part = marks.kernel(names[i : i + 8192])
+        close = np.flatnonzero(part.max(1) > FAINT)
+        row_of[i + close] = np.arange(kept, kept + len(close))
+        rows.append(np.where(part[close] > FAINT, part[close], 0))
+        kept += len(close)
+    feature = np.concatenate(rows)
+    del rows, place
+    stops = np.array([ends_sentence(w) for w in names], bool)
+    at = np.concatenate(lists)
+    stops, at = stops[at], row_of[at]
     docs = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-    begin = starts_of(stops[at], docs)
+    begin = starts_of(stops, docs)
     doc_of = docs[begin]
     guess = np.concatenate((np.ones(len(chosen)), np.zeros(len(words) - len(chosen))))
     per_word = feature @ guess.astype(np.float32)
@@ -330,9 +363,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label, n in sizes.items():
         keep = keep | ((F.col("toxic") == label) & (F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n))))
     chosen = F.broadcast(known.where(keep))  # some 2 x most rows of two numbers
-    rows = need(docs, id_col, text_col).join(chosen, id_col).select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), "toxic").collect()
-    rows.sort(key=lambda r: (r[0], r["text"]))
-    return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    rows = need(docs, id_col, text_col).join(chosen, id_col).select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), "toxic")
+    bags = Bags()
+    for r in rows.toLocalIterator():
+        bags.add(r["text"], r["toxic"] > 0)
+    return train(bags)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
