@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockweave.llm.line_dedup import dedup
+
+    return dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lockweave.llm.simhash import near_duplicates
 
@@ -56,6 +62,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
@@ -63,4 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality": _quality}
+#: A line goes if an earlier one (by document, then place) has a word set of Jaccard similarity 0.8 or more.
+_LINES = """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+e AS (SELECT doc_id, i, list_sort(list_distinct(list_filter(regexp_split_to_array(ls[i], '[\\x20\\x09-\\x0D]'), lambda x: x <> ''))) AS s
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+c AS (SELECT s, len(s) AS n, min((doc_id, i)) AS p FROM e WHERE len(s) > 0 GROUP BY s),
+w AS (SELECT p, n, unnest(s) AS w FROM c WHERE n >= 4),
+o AS (SELECT x.p AS x, y.p AS y, count(*) AS o, any_value(x.n) AS nx, any_value(y.n) AS ny
+      FROM w x JOIN w y ON x.w = y.w AND x.p > y.p AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY 1, 2),
+k AS (SELECT p FROM c WHERE p NOT IN (SELECT x FROM o WHERE 9 * o >= 4 * (nx + ny))),
+r AS (SELECT e.doc_id, e.i, len(e.s) > 0 AS filled, k.p IS NOT NULL AS kept FROM e LEFT JOIN k ON k.p = (e.doc_id, e.i)),
+d AS (SELECT doc_id, count(*) FILTER (filled) AS n_lines, count(*) FILTER (filled AND kept) AS n_kept, list(i ORDER BY i) FILTER (NOT filled OR kept) AS stay FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(list_transform(stay, lambda j: ls[j]), chr(10)), '') AS text, n_lines, n_kept FROM l JOIN d USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _LINES, "op8_quality": _quality}
