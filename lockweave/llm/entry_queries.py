@@ -25,6 +25,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockweave.llm.warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lockweave.llm.pii import find
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
@@ -84,4 +91,10 @@ r AS (SELECT e.doc_id, e.i, len(e.s) > 0 AS filled, k.p IS NOT NULL AS kept FROM
 d AS (SELECT doc_id, count(*) FILTER (filled) AS n_lines, count(*) FILTER (filled AND kept) AS n_kept, list(i ORDER BY i) FILTER (NOT filled OR kept) AS stay FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(array_to_string(list_transform(stay, lambda j: ls[j]), chr(10)), '') AS text, n_lines, n_kept FROM l JOIN d USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _LINES, "op8_quality": _quality}
+_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS m FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to FROM g"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc": _WARC, "op2_line_dedup": _LINES, "op8_quality": _quality}
