@@ -31,6 +31,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockweave.llm.html_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lockweave.llm.pii import find
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
+    "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
