@@ -56,6 +56,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lockweave.llm.embedding_graph import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_embedding_graph": op9_embedding_graph,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
