@@ -25,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE = 5, 0.8
 #: Rounds over the graph at most; fewer if a round discovers nothing.
 ROUNDS = 4
+#: Lists of spans of up to so many bytes are broadcast, so that texts aren't shuffled; larger ones are joined.
+BROADCAST = 64 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -239,6 +241,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return pd.Series(out, dtype=object)
 
     cut = F.pandas_udf(cut, "string", F.PandasUDFType.SCALAR)
-    both = marked.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_hash")), "left")
+    spans = table(spans, "spans")
+    weight = spans.agg(F.coalesce(F.sum(F.length("_spans") + 64), F.lit(0)).alias("b")).first()["b"]
+    side = F.broadcast(spans) if weight <= BROADCAST else spans
+    both = marked.join(side, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_hash")), "left")
     text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
     return both.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -143,3 +143,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = table(whole.groupBy("c").agg(F.min("least").alias("component_id")), "least")
     named = table(whole.join(least, "c").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, the one with its smallest id; all columns stay.
+
+    Of rows that repeat id and fingerprint any one stays.  A row with a null id goes if
+    its component has an id; else all its rows stay, as none of them is the first.
+    """
+    found = table(near_duplicates(df, id_col, text_col), "found")
+    same = F.col(id_col).eqNullSafe(F.col("component_id"))
+    firsts = found.where(same).groupBy(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_fp")).agg(F.count("*").alias("_n"))
+    twice = firsts.groupBy("_id").agg(F.sum("_n").alias("n")).where("n > 1 and _id is not null").limit(1).count()
+    if not twice:
+        return df.join(firsts.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    shown = df.withColumn("_fp", F.lpad(F.lower(F.hex(_print_udf()(F.col(text_col)))), 16, "0"))
+    kept = shown.join(firsts.select("_id", F.col("_fp").alias("_f")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")), "left_semi")
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_fp"])).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _print_udf():
+    def prints(texts):
+        return texts.map(lambda t: _signed(fingerprint(t)))
+
+    return F.pandas_udf(prints, "bigint", F.PandasUDFType.SCALAR)

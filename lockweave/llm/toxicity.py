@@ -390,3 +390,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     out = src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, score double")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; cases as in ``score``."""
+    import pyarrow as pa
+
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([s < threshold for s in scorer([t or "" for t in part.column(at_text).to_pylist()])]))
+
+    return docs.mapInArrow(run, docs.schema)
