@@ -173,6 +173,7 @@ def encode_decode(df: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
                     cols += [pa.array(out["ids"], pa.binary()), pa.array(out["raw"], pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        bpe.memory.clear()  # the worker goes on to other tasks
 
     more = ", ids binary, decoded binary" if keep else ""
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -28,7 +28,7 @@ from lockweave.llm.common import need
 #: Windows that a task keeps open at most.
 OPEN = 2048
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Characters below this one are split here.
 BELOW = 0x180
 
@@ -227,6 +227,7 @@ def pack(df: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 1,
                     yield out()
         for pieces in packer.close():
             laid(pieces)
+        words.memory.clear()  # the worker goes on to other tasks
         if rows:
             yield out()
 

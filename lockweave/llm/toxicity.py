@@ -2,8 +2,9 @@
 
 The kernel of two words counts their common subsequences of three characters, each
 weighted by ``GAP`` for every character skipped (a subsequence spans five
-characters at most), normalised and raised to ``POWER``; so "i.d.i.o.t" stays close
-to "idiot" and a stem to its inflections.  The kernel of two sentences is the sum
+characters at most), normalised and raised to ``POWER``; so a word
+with letters put in stays close to it, and a stem to its inflections.  A word with
+signs inside is also taken without them, whichever is closer.  The kernel of two sentences is the sum
 over their word pairs.  Its feature space is approximated by Nyström landmarks:
 words chosen for the subsequences that set toxic training documents apart, and
 frequent words of clean ones.  A linear support vector machine (squared hinge,
@@ -47,9 +48,10 @@ ALIKE = 0.4
 #: Kernels up to this are taken as none in training and scoring alike.
 FAINT = 0.02
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
-MEMORY = 400_000
+MEMORY = 200_000
 
 _EDGE = re.compile(r"^\W+|\W+$")
+_SIGNS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[^\S\n]+){2,}\S(?!\S)")
 
 
@@ -67,9 +69,10 @@ def subsequences(words: list[str], steps=STEPS):
     owner, windows = [], []
     for i, w in enumerate(words):
         w = _EDGE.sub("", w)
-        for at in range(0, max(1, len(w) - (WIDTH - STRIDE)), STRIDE):
-            owner.append(i)
-            windows.append(("\2" if at == 0 else "") + w[at : at + WIDTH])
+        for view in (w, bare) if (bare := _SIGNS.sub("", w)) != w else (w,):
+            for at in range(0, max(1, len(view) - (WIDTH - STRIDE)), STRIDE):
+                owner.append(i)
+                windows.append(("\2" if at == 0 else "") + view[at : at + WIDTH])
     n, wide = len(windows), WIDTH + 1
     code = np.zeros((n, wide + 4), np.int64)
     if n:
@@ -81,7 +84,7 @@ def subsequences(words: list[str], steps=STEPS):
         third = code[:, b : b + wide]
         keys[:, k] = code[:, :wide] << 42 | code[:, a : a + wide] << 21 | third
         weight[:, k] = np.where(third > 0, by, 0)
-    return np.array(owner, np.int64), keys.reshape(n, -1), weight.reshape(n, -1)
+    return np.array(owner, np.int64), keys.reshape(n, len(steps) * wide), weight.reshape(n, len(steps) * wide)
 
 
 @dataclass
@@ -111,7 +114,7 @@ class Landmarks:
 
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
-    def kernel(self, words: list[str], step: int = 4096):
+    def kernel(self, words: list[str], step: int = 1024):
         """Kernel of each word with each landmark; a long word counts by its closest window."""
         import numpy as np
 
@@ -180,7 +183,7 @@ class Model:
         """A function from texts to scores that remembers words."""
         import numpy as np
 
-        marks, beta = Landmarks(self.words), np.array(self.beta, np.float64)
+        marks, beta = Landmarks(self.words) if self.words else None, np.array(self.beta, np.float64)
         place: dict[str, int] = {}
         value, stops = np.zeros(0), np.zeros(0, bool)
 
@@ -193,7 +196,7 @@ class Model:
             news = list({w for ws in lists for w in ws if w not in place})
             if news:
                 place.update(zip(news, range(len(value), len(value) + len(news)), strict=True))
-                near = marks.kernel(news) if self.words else np.zeros((len(news), 0))
+                near = marks.kernel(news) if marks else np.zeros((len(news), 0))
                 found = np.where(near > FAINT, near, 0).astype(np.float64) @ beta
                 value, stops = np.concatenate((value, found)), np.concatenate((stops, [ends_sentence(w) for w in news]))
             most = np.full(len(texts), self.bias)
