@@ -65,3 +65,9 @@ def need(df: DataFrame, *names: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text, in order: runs of anything but the six white-space characters."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]"), lambda w: w != "")
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... and the new name of each old one, so that no name clashes with an operator's own."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new

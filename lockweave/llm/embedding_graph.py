@@ -210,7 +210,6 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     """
     import pyarrow as pa
 
-    spark = df.sparkSession
     whole = table(units(df, id_col, vec_col, label_col).distinct(), "units")
     classes = table(whole.groupBy("label", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")), "classes")
     centres = medoids(classes)
@@ -219,8 +218,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     large = table(sizes.where(F.col("size") > SHARD), "large")
     fit = dealt.join(large, ["label", "shard"], "left_anti")
 
-    def build(batches: Iterator[pa.Table]) -> pa.Table:
-        t = batches
+    def build(t: pa.Table) -> pa.Table:
         x = _matrix(t.column("v").combine_chunks())
         ids = t.column("id").to_pylist()
         near = pruned(x)
@@ -258,9 +256,9 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
             if audit and ids[i] % AUDIT == 0:
                 true[i] = weight[x @ x[i] >= least].sum() - weight[i]
         rows = [(int(ids[i]), None, int(n_links[i]), int(true[i])) for i in np.flatnonzero(home)] + [(int(a), int(b), 0, -1) for a, b in _star(x, ids, links)]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["a", "b", "n_links", "true"])
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["a", "b", "n_links", "actual"])
 
-    shape = "a bigint, b bigint, n_links bigint, true bigint"
+    shape = "a bigint, b bigint, n_links bigint, actual bigint"
     found = held.groupBy("label", "shard").applyInArrow(look, shape)
 
     # large shards: each pair of blocks in a task of its own
@@ -286,11 +284,11 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
                     n_links[other] += weight[i]
                 links.append((int(i), other))
         rows = [(int(ids[i]), None, int(n_links[i]), -1) for i in np.flatnonzero(home)] + [(int(p), int(q), 0, -1) for p, q in _star(x, ids, links)]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["a", "b", "n_links", "true"])
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["a", "b", "n_links", "actual"])
 
     found = table(found.union(pairs.groupBy("label", "shard", "lo", "hi").applyInArrow(compare, shape)), "found")
     if audit:
-        return found.where("true >= 0").select(F.col("a").alias(id_col), "true", F.col("n_links").alias("found"))
+        return found.where("actual >= 0").select(F.col("a").alias(id_col), "actual", F.col("n_links").alias("found"))
     # the class's own copies link with each other; back to every vector
     linked = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("others"))
     met = components(found.where("b is not null").select("a", "b"))
@@ -299,5 +297,4 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     ids = need(df, id_col).select(F.col(id_col).alias("_id"))
     out = ids.join(each, ids["_id"] == each["id"], "left")
     component = F.coalesce("component_id", "_id")
-    del spark
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.llm.common import need, table
+from lockweave.llm.common import need, renamed, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern counts if it has so many distinct known values and at least this confidence.
@@ -221,6 +221,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     import pandas as pd
 
+    columns, (df, new) = df.columns, renamed(df)
+    id_col, text_col = new[id_col], new[text_col]
     here = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     marked = df.withColumn("_text_key", here)
     found = find(marked.select(F.col(id_col), F.col(text_col)), id_col, text_col, keyed=True)
@@ -246,4 +248,4 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     side = F.broadcast(spans) if weight <= BROADCAST else spans
     both = marked.join(side, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_hash")), "left")
     text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
-    return both.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])
+    return both.withColumn(text_col, text).select(*[F.col(new[c]).alias(c) for c in columns])

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.llm.common import need, table
+from lockweave.llm.common import need, renamed, table
 from lockweave.llm.components import components
 
 #: Distinct fingerprints that one bucket may hold when it is compared.
@@ -151,15 +151,18 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat id and fingerprint any one stays.  A row with a null id goes if
     its component has an id; else all its rows stay, as none of them is the first.
     """
+    columns, (df, new) = df.columns, renamed(df)
+    id_col, text_col = new[id_col], new[text_col]
+    back = [F.col(new[c]).alias(c) for c in columns]
     found = table(near_duplicates(df, id_col, text_col), "found")
     same = F.col(id_col).eqNullSafe(F.col("component_id"))
     firsts = found.where(same).groupBy(F.col(id_col).alias("_id"), F.col("fingerprint").alias("_fp")).agg(F.count("*").alias("_n"))
     twice = firsts.groupBy("_id").agg(F.sum("_n").alias("n")).where("n > 1 and _id is not null").limit(1).count()
     if not twice:
-        return df.join(firsts.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+        return df.join(firsts.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").select(*back)
     shown = df.withColumn("_fp", F.lpad(F.lower(F.hex(_print_udf()(F.col(text_col)))), 16, "0"))
     kept = shown.join(firsts.select("_id", F.col("_fp").alias("_f")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")), "left_semi")
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_fp"])).select(*[F.col(f"`{c}`") for c in df.columns])
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_fp"])).select(*back)
 
 
 def _print_udf():
