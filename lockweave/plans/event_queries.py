@@ -486,6 +486,63 @@ def alias_closure(spark, sf_dir):
     return al.follow(step)
 
 
+# --- the text front end and the method flow, on the events written as instructions
+def _text_lines(f: Facts) -> DataFrame:
+    """path, at, t: each user as a disassembled method of a class of its component.
+
+    An acquisition loads a static and enters it, a release leaves it; a view or click
+    touches a field of the receiver.  Offsets are eight times the line, so that each
+    event has its place.
+    """
+    off = F.lower(F.lpad(F.hex(F.col("line") * 8), 4, "0"))
+    nxt = F.lower(F.lpad(F.hex(F.col("line") * 8 + 1), 4, "0"))
+    ref = F.concat(F.lit("Lt/S;."), F.col("lock"), F.lit(":Ljava/lang/Object; // field@1"))
+    say = lambda at, *parts: F.concat(F.lit("00: 0000 |"), at, F.lit(": "), *parts)
+    both = lambda how: F.array(say(off, F.lit("sget-object v0, "), ref), say(nxt, F.lit(f"monitor-{how} v0")))
+    touch = F.concat(F.lit("v1, v7, Lt/C"), F.col("component"), F.lit(";."), F.col("field"), F.lit(":I // field@2"))
+    body = F.when(F.col("op") == "enter", both("enter")).when(F.col("op") == "exit", both("exit")).when(F.col("op") == "iget", F.array(say(off, F.lit("iget "), touch))).when(F.col("op") == "iput", F.array(say(off, F.lit("iput "), touch))).otherwise(F.array(say(off, F.lit("nop"))))
+    own = f.instr.groupBy("component", "m").agg(F.array_sort(F.collect_list(F.struct("line", body.alias("b")))).alias("rows"))
+    cls = F.concat(F.lit("t.C"), "component")
+    head = F.array(
+        F.concat(F.lit("Class descriptor  : 'Lt/C"), "component", F.lit(";'")), F.lit("Superclass        : 'Ljava/lang/Object;'"), F.lit("Virtual methods   -"), F.concat(F.lit("name          : 'm"), "m", F.lit("'")),
+        F.lit("access        : 0x0001 (PUBLIC)"), F.lit("registers     : 8"), F.lit("ins           : 1"), F.concat(F.lit("00:  |[000148] "), cls, F.lit(".m"), "m", F.lit(":()V")),
+    )
+    places = F.transform("rows", lambda x: F.concat(F.lit("0x"), F.lower(F.hex(x["line"] * 8)), F.lit(" line="), x["line"].cast("string")))
+    whole = F.concat(head, F.flatten(F.transform("rows", lambda x: x["b"])), F.array(F.lit("catches       : (none)"), F.lit("positions     :")), places, F.array(F.lit("locals        :")))
+    return own.select(F.col("m").cast("string").alias("path"), F.posexplode(whole).alias("at", "t"))
+
+
+def _flow(f: Facts) -> DataFrame:
+    from lockweave.operators import flow
+    from lockweave.sources import disassembly
+
+    facts = disassembly.parse(f.once("text", lambda: _text_lines(f)))
+    return f.once("flow", lambda: flow.facts(facts.methods, facts.insns.withColumn("effect", F.lit(None).cast("string")), facts.positions, facts.catches))
+
+
+def _method(key: str = "mkey"):
+    return F.regexp_extract(key, r"\.m([0-9]+):", 1).cast("long")
+
+
+def _lock_name(column):
+    return F.regexp_extract(column, r"\|(L[0-9]+)\|", 1)
+
+
+@query
+def flow_order_edges(spark, sf_dir):
+    """The same orders as from the event table, by way of text, parser and method flow."""
+    edge = _flow(Facts(spark, sf_dir)).where("fact = 'edge'")
+    return edge.select(_method().alias("m"), F.col("line").cast("long").alias("line"), _lock_name("a").alias("src"), _lock_name("b").alias("dst"))
+
+
+@query
+def flow_field_access(spark, sf_dir):
+    """Field accesses with the locks held, by way of text, parser and method flow."""
+    acc = _flow(Facts(spark, sf_dir)).where("fact = 'access'")
+    guards = F.array_join(F.array_sort(F.transform("list", _lock_name)), ",")
+    return acc.select(_method().alias("m"), F.col("line").cast("long").alias("line"), F.substring_index("a", ".", -1).alias("field"), F.col("flag").alias("write"), guards.alias("guards"))
+
+
 # --- names, lines and text
 @query
 def line_asof(spark, sf_dir):
