@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lockweave.plans.loop import ship
+
 #: Access bit of static methods; names and calls of explicit locks.
 STATIC = 0x8
 LOCK_TYPES = ("Lock", "ReentrantLock", "ReentrantReadWriteLock", "ReadLock", "WriteLock")
@@ -293,4 +295,5 @@ def facts(methods: DataFrame, insns: DataFrame, positions: DataFrame, catches: D
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    ship(methods.sparkSession)
     return whole.mapInArrow(run, FACTS)

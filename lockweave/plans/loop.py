@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str = "round") -> DataFrame:
-    """``df`` written as Parquet under the session's ``spark.checkpoint.dir`` and read again.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, one subfolder per application.
 
-    Where the session has no such folder (tests, a laptop) a temporary one is set.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a
+    laptop) a temporary folder of this machine is made and set.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lockweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lockweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/lockweave-{spark.sparkContext.applicationId}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's code to the executors' Python workers, once an application."""
+    context = spark.sparkContext
+    if getattr(context, "_lockweave_shipped", False):
+        return
+    package, body = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/code-{uuid.uuid4().hex[:8]}/lockweave_code.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(body.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
+    context._lockweave_shipped = True
+
+
+def settle(df: DataFrame, name: str = "round") -> DataFrame:
+    """``df`` written as Parquet under the session's ``spark.checkpoint.dir`` and read again.
+
+    Where the session has no such folder (tests, a laptop) a temporary one is set.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
