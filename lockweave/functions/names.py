@@ -76,14 +76,14 @@ def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def line_asof(points: DataFrame, positions: DataFrame) -> DataFrame:
-    """points (m, off) with at: the line of the last position at or before the offset, null before the first.
+    """points (m, off) with line: that of the last position at or before the offset, null before the first.
 
     Both tables are one stream ordered by offset; the last line seen is carried on, so
     no pair of point and position is formed.
     """
     both = points.select("m", "off", F.lit(None).cast("long").alias("line"), F.lit(1).alias("what")).union(positions.select("m", "off", F.col("line").cast("long"), F.lit(0)))
     w = Window.partitionBy("m").orderBy("off", "what").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("at", F.last("line", ignorenulls=True).over(w)).where("what = 1").select("m", "off", "at")
+    return both.withColumn("at", F.last("line", ignorenulls=True).over(w)).where("what = 1").select("m", "off", F.col("at").alias("line"))
 
 
 def catches(points: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ SELECT * FROM every UNION ALL SELECT component, field, writes, w, lock FROM (
     "alias_closure": "WITH RECURSIVE s AS (SELECT p_partkey AS name, p_partkey // 2 AS target FROM part WHERE p_partkey > 0 AND p_partkey % 2 = 0), f AS (SELECT name, target, 1::BIGINT AS hops FROM s UNION ALL SELECT f.name, s.target, f.hops + 1 FROM f JOIN s ON s.name = f.target WHERE f.hops < 6) SELECT name, max_by(target, hops) AS target, max(hops) AS hops FROM f GROUP BY name",
     "flow_order_edges": _sql("ord", "SELECT m, line, src, dst FROM ord"),
     "flow_field_access": _sql("acc", "SELECT m, line, field, write, array_to_string(guards, ',') AS guards FROM acc"),
-    "line_asof": _sql("ev", "SELECT e.m, e.off, x.line AS at FROM (SELECT * FROM ev WHERE op <> 'enter') e ASOF LEFT JOIN (SELECT * FROM ev WHERE op = 'enter') x ON x.m = e.m AND x.off <= e.off"),
+    "line_asof": _sql("ev", "SELECT e.m, e.off, x.line FROM (SELECT * FROM ev WHERE op <> 'enter') e ASOF LEFT JOIN (SELECT * FROM ev WHERE op = 'enter') x ON x.m = e.m AND x.off <= e.off"),
     "catch_range": _sql("ev", "SELECT e.m, e.off, r.hi AS handler FROM ev e JOIN (SELECT * FROM (SELECT *, lead(off, 5) OVER (PARTITION BY m ORDER BY off) AS hi FROM ev) WHERE op = 'enter' AND hi IS NOT NULL AND k % 10 = 0) r ON r.m = e.m AND e.off >= r.off AND e.off < r.hi WHERE e.op = 'iput'"),
     "value_summary": "SELECT l_orderkey AS m, min(l_returnflag) AS value FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'N') = 0 AND count(DISTINCT l_returnflag) = 1",
     "class_filter": "SELECT s_suppkey AS m, 'm' || s_nationkey AS name FROM supplier WHERE s_suppkey & 1 = 1 AND s_suppkey & 8 = 0 AND s_nationkey > 1",

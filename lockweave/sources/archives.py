@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import subprocess
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -55,3 +59,34 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole
+
+
+def tool() -> str:
+    """The disassembler: LOCKWEAVE_DEXDUMP, or dexdump on the path."""
+    found = os.environ.get("LOCKWEAVE_DEXDUMP") or shutil.which("dexdump")
+    if not found:
+        raise FileNotFoundError("no disassembler: set LOCKWEAVE_DEXDUMP or put dexdump on the path")
+    return found
+
+
+def disassembled(found: DataFrame, command: str | None = None) -> DataFrame:
+    """path, value: the text of each image (path, member, content), as ``disassembly.lines`` takes it.
+
+    The disassembler runs beside the task that holds the image, on a file that lives as
+    long as the call.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        program = command or tool()
+        for batch in batches:
+            for path, member, content in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                with tempfile.NamedTemporaryFile(suffix=".dex") as f:
+                    f.write(content)
+                    f.flush()
+                    done = subprocess.run([program, "-d", f.name], capture_output=True, check=False)
+                if done.returncode:
+                    raise ValueError(f"{path} {member}: {done.stderr.decode(errors='replace')[:500]}")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{path}!{member}"]), pa.array([done.stdout.decode(errors="replace")])], ["path", "value"])
+
+    return found.select("path", "member", "content").mapInArrow(run, "path string, value string")

@@ -34,3 +34,23 @@ def acquire_sites(lines: DataFrame, target: str) -> DataFrame:
     code = ~(plain.startswith("//") | plain.startswith("*") | plain.startswith("/*"))
     word = f"(^|[^A-Za-z0-9_$]){target}([^A-Za-z0-9_$]|$)"
     return lines.where(code & F.col("text").rlike(word) & (F.contains("text", F.lit("synchronized")) | F.col("text").rlike(r"\.(lock|lockInterruptibly|tryLock|acquire)\s*\(")))
+
+
+#: Calls near a line that hint at deferred work (fixed values).
+HINTS = ("post(", "postDelayed(", "execute(", "submit(", "sendMessage(", "schedule(")
+
+
+def evidence(samples: DataFrame, lines: DataFrame, before: int = 6, after: int = 3) -> DataFrame:
+    """``samples`` (class, line, and others) with path, snippet and late: the source around each line, and whether it hints at deferred work.
+
+    Samples without a file or line have null there.
+    """
+    files = file_for(samples.select("class"), lines)
+    placed = samples.join(files, "class", "left")
+    wanted = placed.where("path is not null and line is not null").select("path", F.col("line").cast("long").alias("site")).distinct()
+    window = wanted.withColumn("line_no", F.explode(F.sequence(F.col("site") - before, F.col("site") + after))).join(lines, ["path", "line_no"])
+    hint = F.lit(False)
+    for h in HINTS:
+        hint = hint | F.contains("text", F.lit(h))
+    shown = window.groupBy("path", "site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("snippet"), F.bool_or(hint).alias("late"))
+    return placed.join(shown, (placed["path"] == shown["path"]) & (placed["line"] == shown["site"]), "left").drop(shown["path"]).drop("site")
