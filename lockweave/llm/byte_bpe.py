@@ -25,7 +25,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from lockweave.llm.common import need
+from lockweave.llm.common import need, tidy
 
 #: Characters after a match's first one that the pattern can read: an apostrophe and two letters.
 LOOK = 3
@@ -173,7 +173,8 @@ def encode_decode(df: DataFrame, ranks_file: str, pattern: str, id_col: str = "d
                     cols += [pa.array(out["ids"], pa.binary()), pa.array(out["raw"], pa.binary())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
-        bpe.memory.clear()  # the worker goes on to other tasks
+        bpe.memory.clear()
+        tidy()
 
     more = ", ids binary, decoded binary" if keep else ""
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

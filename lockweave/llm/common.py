@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockweave.plans.loop import shared_dir, ship
+
 #: The six characters that separate words in every word rule of this subpackage.
 SPACE = "\\x20\\x09-\\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, one subfolder per application.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) a temporary folder of this machine is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lockweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lockweave-{spark.sparkContext.applicationId}"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -54,12 +42,37 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that pass to a Python worker at a time: texts can be long, and both sides hold a batch whole.
+BATCH = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's batches for Python workers held to ``BATCH`` rows, and this code sent to them."""
+    ship(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker goes on to other tasks beside the executor's own process."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of ``df``, whatever others it has."""
     gone = [n for n in names if n not in df.columns]
     if gone:
         raise ValueError(f"the table lacks {', '.join(gone)}; it has {', '.join(df.columns)}")
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return bounded(df).select(*[F.col(f"`{n}`") for n in names])
 
 
 def words(text: Column) -> Column:

@@ -111,4 +111,12 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS m FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to FROM g"""
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": _WARC, "op2_line_dedup": _LINES, "op8_quality": _quality}
+_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.98),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id <= coalesce(c.b, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op9_embedding_graph": _LINKS, "op4_warc": _WARC, "op2_line_dedup": _LINES, "op8_quality": _quality}

@@ -23,7 +23,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from lockweave.llm.common import need
+from lockweave.llm.common import need, tidy
 
 #: Windows that a task keeps open at most.
 OPEN = 2048
@@ -227,9 +227,10 @@ def pack(df: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 1,
                     yield out()
         for pieces in packer.close():
             laid(pieces)
-        words.memory.clear()  # the worker goes on to other tasks
         if rows:
             yield out()
+        words.memory.clear()
+        tidy()
 
     more = ", ids binary" if keep else ""
     return src.mapInArrow(run, f"`{id_col}` {field}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint{more}")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.llm.common import need, renamed, table
+from lockweave.llm.common import need, renamed, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern counts if it has so many distinct known values and at least this confidence.
@@ -156,6 +156,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                         col.append(x)
                 types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(mention)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], [id_col, "text_key", *[f"n_{k}" for k in KINDS], "base_sha256", "base_spans", "mentions"])
+        tidy()
 
     return src.mapInArrow(
         run,
@@ -219,8 +220,6 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Of overlapping spans the first is replaced, and the next one that starts after it.
     Texts without a span keep their value, null included.
     """
-    import pandas as pd
-
     columns, (df, new) = df.columns, renamed(df)
     id_col, text_col = new[id_col], new[text_col]
     here = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -228,24 +227,14 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = find(marked.select(F.col(id_col), F.col(text_col)), id_col, text_col, keyed=True)
     spans = found.where("spans <> ''").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("spans").alias("_spans"))
 
-    def cut(text, spans):
-        out = []
-        for t, line in zip(text, spans, strict=True):
-            if line is None or t is None:
-                out.append(t)
-                continue
-            parts, done = [], 0
-            for kind, a, b in (x.split(":") for x in line.split(",")):
-                if int(a) >= done:
-                    parts += [t[done : int(a)], f"<{kind}>"]
-                    done = int(b)
-            out.append("".join([*parts, t[done:]]))
-        return pd.Series(out, dtype=object)
-
-    cut = F.pandas_udf(cut, "string", F.PandasUDFType.SCALAR)
     spans = table(spans, "spans")
     weight = spans.agg(F.coalesce(F.sum(F.length("_spans") + 64), F.lit(0)).alias("b")).first()["b"]
     side = F.broadcast(spans) if weight <= BROADCAST else spans
     both = marked.join(side, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_hash")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_spans")))
+    # from left to right: what is written so far, and up to where the text is done with
+    parts = F.transform(F.split("_spans", ","), lambda x: F.split(x, ":"))
+    old = lambda a, upto: F.substring(F.col(text_col), a["done"] + 1, upto - a["done"])
+    step = lambda a, p: F.when(p[1].cast("int") >= a["done"], F.struct(F.concat(a["out"], old(a, p[1].cast("int")), F.lit("<"), p[0], F.lit(">")).alias("out"), p[2].cast("int").alias("done"))).otherwise(a)
+    whole = F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("done")), step, lambda a: F.concat(a["out"], old(a, F.length(text_col))))
+    text = F.when(F.col("_spans").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(whole)
     return both.withColumn(text_col, text).select(*[F.col(new[c]).alias(c) for c in columns])

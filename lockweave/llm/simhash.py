@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.llm.common import need, renamed, table
+from lockweave.llm.common import need, renamed, table, tidy
 from lockweave.llm.components import components
 
 #: Distinct fingerprints that one bucket may hold when it is compared.
@@ -69,6 +69,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             fp = [_signed(fingerprint(t.as_py(), shingle, seed)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], [id_col, "fp"])
+        tidy()
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, fp bigint")
 

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.llm.common import need
+from lockweave.llm.common import bounded, need, tidy
 
 #: Weight of each skipped character; power of the normalised kernel.
 GAP, POWER = 0.5, 3
@@ -43,6 +43,8 @@ MOST = 3000
 BAD, PLAIN = 96, 32
 #: Standard deviations that a subsequence's excess in toxic documents must pass to count for landmarks.
 PROOF = 4.0
+#: Logarithm of the slots that strings are counted in while landmarks are chosen.
+SLOTS = 21
 #: Landmarks are no closer to each other than this power of the kernel.
 ALIKE = 0.4
 #: Kernels up to this are taken as none in training and scoring alike.
@@ -243,20 +245,31 @@ class Bags:
 
 
 def _evidence(both: list[str], tox: Counter, plain: Counter, n_tox: int, n_plain: int):
-    """For each word the summed surprise of its three-character strings, over the root of their number."""
+    """For each word the summed surprise of its three-character strings, over the root of their number.
+
+    Strings are counted in ``1 << SLOTS`` hash slots, some words at a time: this only chooses landmarks.
+    """
     import numpy as np
 
-    words, strings = [], []
-    for at in range(0, len(both), 8192):
-        owner, keys, weight = subsequences(both[at : at + 8192], STEPS[:1])
-        row, col = np.nonzero(weight)
-        words.append(owner[row] + at)
-        strings.append(keys[row, col])
-    word_of = np.concatenate(words)
-    _, inverse = np.unique(np.concatenate(strings), return_inverse=True)
-    count = lambda by: np.bincount(inverse, np.array([by[w] for w in both], float)[word_of])
-    proof = surprise(count(tox), count(plain), n_tox, n_plain)[inverse]
-    return np.bincount(word_of, proof, len(both)) / np.sqrt(np.maximum(1, np.bincount(word_of, minlength=len(both))))
+    def strings():
+        for at in range(0, len(both), 4096):
+            part = both[at : at + 4096]
+            owner, keys, weight = subsequences(part, STEPS[:1])
+            row, col = np.nonzero(weight)
+            yield at, part, owner[row], (keys[row, col].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    hits, misses = np.zeros(1 << SLOTS, np.float32), np.zeros(1 << SLOTS, np.float32)
+    for _, part, owner, slot in strings():
+        np.add.at(hits, slot, np.array([tox[w] for w in part], np.float32)[owner])
+        np.add.at(misses, slot, np.array([plain[w] for w in part], np.float32)[owner])
+    used = np.flatnonzero(hits)
+    proof = np.zeros(1 << SLOTS, np.float32)
+    proof[used] = surprise(hits[used].astype(float), misses[used].astype(float), n_tox, n_plain)
+    out = np.zeros(len(both))
+    for at, part, owner, slot in strings():
+        n = np.bincount(owner, minlength=len(part))
+        out[at : at + len(part)] = np.bincount(owner, proof[slot], len(part)) / np.sqrt(np.maximum(1, n))
+    return out
 
 
 def train(bags: Bags, seed: int = 7) -> Model:
@@ -274,6 +287,7 @@ def train(bags: Bags, seed: int = 7) -> Model:
     both = list(dict.fromkeys([*vocab, *plain]))
     rank = _evidence(both, tox, plain, y.sum(), (~y).sum())[: len(vocab)]
     rank = rank + surprise(np.array([tox[w] for w in vocab], float), np.array([plain[w] for w in vocab], float), y.sum(), (~y).sum())
+    del both
     chosen: list[str] = []
     order = [vocab[i] for i in np.argsort(-rank, kind="stable")[: 16 * BAD] if rank[i] > 0]
     near = Landmarks(order).kernel(order, step=32)
@@ -283,6 +297,7 @@ def train(bags: Bags, seed: int = 7) -> Model:
             chosen.append(w)
             blocked |= near[i] > ALIKE
     usual = [w for w, _ in plain.most_common(PLAIN)]
+    del tox, plain, vocab, rank
     words = list(dict.fromkeys([*chosen, *usual]))
     marks = Landmarks(words)
     gram = marks.kernel(words).astype(np.float64)
@@ -390,6 +405,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer([t or "" for t in part.column(1).to_pylist()]), pa.float64())], [id_col, "score"])
+        del scorer
+        tidy()
 
     out = src.mapInArrow(run, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, score double")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -407,5 +424,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield part.filter(pa.array([s < threshold for s in scorer([t or "" for t in part.column(at_text).to_pylist()])]))
+        del scorer
+        tidy()
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
