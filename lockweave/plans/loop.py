@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
@@ -41,13 +42,28 @@ def ship(spark: SparkSession) -> None:
     context._lockweave_shipped = True
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone by now; the folder's owner cleans up then
+        pass
+
+
 def settle(df: DataFrame, name: str = "round") -> DataFrame:
     """``df`` written as Parquet under the session's ``spark.checkpoint.dir`` and read again.
 
     Where the session has no such folder (tests, a laptop) a temporary one is set.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
