@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.plans.loop import shared_dir, ship
+from lockweave.plans.loop import new_path, settle, ship
+
+__all__ = ["SPACE", "bounded", "need", "new_path", "renamed", "table", "tidy"]
 
 #: The six characters that separate words in every word rule of this subpackage.
 SPACE = "\\x20\\x09-\\x0D"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the JVM may be gone by now; the folder's owner cleans up then
-        pass
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write a table in the shared folder and read it: cuts lineage and survives lost executors.
+table = settle
 
 
 #: Rows that pass to a Python worker at a time: texts can be long, and both sides hold a batch whole.
@@ -75,11 +50,6 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return bounded(df).select(*[F.col(f"`{n}`") for n in names])
 
 
-def words(text: Column) -> Column:
-    """The words of a text, in order: runs of anything but the six white-space characters."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]"), lambda w: w != "")
-
-
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns c0, c1, ... and the new name of each old one, so that no name clashes with an operator's own."""
     new = {c: f"c{i}" for i, c in enumerate(df.columns)}
