@@ -70,6 +70,12 @@ def lock_target(lock: Column) -> Column:
     return F.when(plain.endswith(".class"), F.regexp_replace(plain, r"\.class$", "")).when(plain.endswith("@this"), F.regexp_replace(plain, "@this$", "")).otherwise(F.substring_index(plain, ".", -1))
 
 
+def sample_parts(sample: Column) -> tuple[Column, Column]:
+    """Method key and line of a sample key:line; a sample without a line is no method's."""
+    at = r"^(.*):([0-9]+)$"
+    return F.when(sample.rlike(at), F.regexp_extract(sample, at, 1)), F.regexp_extract(sample, at, 2).try_cast("int")
+
+
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("_r = 1").drop("_r")

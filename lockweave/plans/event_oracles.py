@@ -238,6 +238,10 @@ SELECT * FROM every UNION ALL SELECT component, field, writes, w, lock FROM (
     "value_summary": "SELECT l_orderkey AS m, min(l_returnflag) AS value FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'N') = 0 AND count(DISTINCT l_returnflag) = 1",
     "class_filter": "SELECT s_suppkey AS m, 'm' || s_nationkey AS name FROM supplier WHERE s_suppkey & 1 = 1 AND s_suppkey & 8 = 0 AND s_nationkey > 1",
     "short_names": "SELECT p_partkey, 'org.shop.' || b AS class, 'get' || p_size || ':(I)V' AS namesig, b || '.get' || p_size AS short, 'shop.' || b AS lock FROM (SELECT *, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS b FROM part)",
+    "access_flags": "SELECT s_suppkey, s_suppkey & 8 <> 0 AS static, s_suppkey & 5 <> 0 AS external, greatest(0, s_suppkey % 7 - s_nationkey % 9) AS this FROM supplier",
+    "lock_targets": "SELECT p_partkey, CASE p_size % 5 WHEN 3 THEN 'org.Shop' || p_partkey % 9 WHEN 4 THEN 'org.Shop' || p_partkey % 9 ELSE 'mLock' END AS target FROM part",
+    "escaped_labels": r"""SELECT p_partkey, '\"' || p_name || '\\' AS label FROM part""",
+    "sample_places": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'a.B.m' || p_size || ':()V' END AS mkey, CASE WHEN p_partkey % 3 > 0 THEN p_partkey::INT END AS line FROM part",
     "dotted_names": "SELECT n_nationkey, 'a.b.' || n_name AS dotted, n_name AS plain FROM nation",
     "first_wins_dedup": "SELECT user_id || ':' || event_type AS mkey, min(event_id) AS event_id FROM events GROUP BY ALL",
     "word_sites": _sql("src", f"SELECT path, line_no FROM src WHERE regexp_matches(text, '{_WORD.format('the')}')"),

@@ -583,6 +583,36 @@ def short_names(spark, sf_dir):
     return f.read("part").select("p_partkey", names.class_of(key).alias("class"), names.namesig_of(key).alias("namesig"), names.short_method(key).alias("short"), names.short_lock(names.class_of(key)).alias("lock"))
 
 
+@query
+def access_flags(spark, sf_dir):
+    """Static, external and the receiver's register, from access bits and register counts."""
+    f = Facts(spark, sf_dir)
+    access = F.col("s_suppkey").bitwiseAND(15)
+    return f.read("supplier").select("s_suppkey", names.is_static(access).alias("static"), names.is_external(access).alias("external"), names.this_register(F.col("s_suppkey") % 7, F.col("s_nationkey") % 9).cast("long").alias("this"))
+
+
+@query
+def lock_targets(spark, sf_dir):
+    """What to look for in the sources: the field of a lock, or the class of a monitor."""
+    f = Facts(spark, sf_dir)
+    end = F.element_at(F.array(*map(F.lit, (".mLock", ".mLock.read", ".mLock.write", ".class", "@this"))), (F.col("p_size") % 5 + 1).cast("int"))
+    return f.read("part").select("p_partkey", names.lock_target(F.concat(F.lit("org.Shop"), F.col("p_partkey") % 9, end)).alias("target"))
+
+
+@query
+def escaped_labels(spark, sf_dir):
+    f = Facts(spark, sf_dir)
+    return f.read("part").select("p_partkey", names.escaped(F.concat(F.lit('"'), "p_name", F.lit("\\"))).alias("label"))
+
+
+@query
+def sample_places(spark, sf_dir):
+    """Method and line of evidence written as key:line; each third has no line."""
+    f = Facts(spark, sf_dir)
+    at = names.sample_parts(F.concat(F.lit("a.B.m"), "p_size", F.lit(":()V"), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit(":"), "p_partkey")).otherwise("")))
+    return f.read("part").select("p_partkey", at[0].alias("mkey"), at[1].alias("line"))
+
+
 @query
 def dotted_names(spark, sf_dir):
     f = Facts(spark, sf_dir)

@@ -122,6 +122,25 @@ def fields_markdown(report: dict) -> str:
     return "\n".join(out)
 
 
+def boundary_dot(report: dict) -> str:
+    """From each lock over its holder along the chain of calls to the transaction."""
+    steps = [(lock, r["path"][0], "held in") for r in report["outgoing"] for lock in r["held"]]
+    steps += [(a, b, "") for r in report["outgoing"] for a, b in zip(r["path"], [*r["path"][1:], "transaction"], strict=True)]
+    return dot(steps, {lock for r in report["outgoing"] for lock in r["held"]}, "boundary")
+
+
+def field_dot(report: dict) -> str:
+    """From each place that misses a guard to its field, and from there to the guard."""
+    steps = [(s, r["field"], "without") for r in report["fields"] for s in r["sites"]] + [(r["field"], r["guard"], f"{r['guarded_writes']} of {r['writes']}") for r in report["fields"]]
+    return dot(steps, {r["field"] for r in report["fields"]}, "fields")
+
+
+def candidate_calls(report: dict, calls: Iterable) -> list[tuple[str, str, str]]:
+    """m, lock, callee of the calls under a lock of a candidate cycle."""
+    cyclic = {n for c in report["cycles"] for n in c["locks"]}
+    return sorted({(e["m"], e["lock"], e["callee"]) for e in calls if e["lock"] in cyclic})
+
+
 def svg(graph: str, to: Path) -> bool:
     """Drawn by Graphviz where that is installed."""
     if not shutil.which("dot"):

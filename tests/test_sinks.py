@@ -50,3 +50,13 @@ def test_text_and_dot():
     shown = reports.text(report)
     assert "tangle of 13 locks" in shown and "inversion: a -> b -> a" in shown and "ruled out: p <-> q under g" in shown
     assert reports.dot([('q"', "b", "1")]).count('\\"') == 2
+
+
+def test_diagrams():
+    out = {"outgoing": [{"mkey": "m", "line": 1, "held": ["L"], "path": ["m", "n"]}], "incoming": [{"mkey": "e", "locks": ["L"], "high": True}]}
+    shown = reports.boundary_dot(out)
+    assert '"L" -> "m"' in shown and '"n" -> "transaction"' in shown
+    assert "**high** `e`: L" in reports.boundary_markdown(out) and "m > n" in reports.boundary_markdown(out)
+    races = {"fields": [{"field": "f", "guard": "g", "writes": 3, "guarded_writes": 2, "violating_writes": 1, "sites": ["m:4"]}]}
+    assert '"m:4" -> "f"' in reports.field_dot(races) and "2 of 3 writes" in reports.fields_markdown(races)
+    assert reports.candidate_calls({"cycles": [{"locks": ["L"]}]}, [{"m": "a", "lock": "L", "callee": "b"}, {"m": "a", "lock": "M", "callee": "b"}]) == [("a", "L", "b")]
