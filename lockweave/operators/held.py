@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lockweave.plans.loop import settle
+
+#: Points of a method that are joined with its spans at a time.
+STRETCH = 64
+
 
 def spans(effects: DataFrame) -> DataFrame:
     """m, lock, after, upto: between which effects a lock is held (after < offset <= upto; upto null: to the end).
@@ -20,10 +25,22 @@ def spans(effects: DataFrame) -> DataFrame:
 
 
 def held_at(points: DataFrame, effects: DataFrame) -> DataFrame:
-    """The rows of ``points`` (with m, off), one for each lock held just before, as column held."""
-    s = spans(effects).withColumnsRenamed({"m": "hm", "lock": "held"})
-    inside = (F.col("m") == F.col("hm")) & (F.col("off") > F.col("after")) & (F.col("upto").isNull() | (F.col("off") <= F.col("upto")))
-    return points.join(s, inside).drop("hm", "after", "upto")
+    """The rows of ``points`` (with m, off), one for each lock held just before, as column held.
+
+    A method's offsets are cut into stretches of about ``STRETCH`` points, and points
+    meet only the spans that reach into their stretch: a method that holds a third of
+    all rows is many small joins, not one of all its points with all its spans.
+    """
+    size = points.groupBy("m").agg(F.min("off").alias("lo"), F.max("off").alias("hi"), F.count("*").alias("n"))
+    wide = F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / STRETCH))
+    size = settle(size.select("m", "lo", "hi", wide.alias("wide")), "sizes")
+    at = lambda off: F.floor((off - F.col("lo")) / F.col("wide"))
+    placed = points.join(size, "m").withColumn("stretch", at(F.col("off"))).drop("lo", "hi", "wide")
+    s = spans(effects).join(size, "m").where("after < hi and (upto is null or upto >= lo)")
+    over = F.sequence(at(F.greatest("after", "lo")), at(F.least(F.coalesce("upto", "hi"), "hi")))
+    s = s.select(F.col("m").alias("hm"), F.col("lock").alias("held"), "after", "upto", F.explode(over).alias("part"))
+    inside = (F.col("m") == F.col("hm")) & (F.col("stretch") == F.col("part")) & (F.col("off") > F.col("after")) & (F.col("upto").isNull() | (F.col("off") <= F.col("upto")))
+    return placed.join(s, inside).drop("hm", "part", "stretch", "after", "upto")
 
 
 def acquires(enters: DataFrame, effects: DataFrame) -> DataFrame:
