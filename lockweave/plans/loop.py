@@ -16,13 +16,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, one subfolder per application.
 
     It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a temporary folder of this machine is made and set.
+    laptop) a temporary folder of this machine serves.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lockweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lockweave-{spark.sparkContext.applicationId}"
+        base = getattr(context, "_lockweave_dir", None) or "file://" + tempfile.mkdtemp(prefix="lockweave-")
+        context._lockweave_dir = base
+    return f"{base.rstrip('/')}/lockweave-{context.applicationId}"
 
 
 def ship(spark: SparkSession) -> None:
