@@ -53,14 +53,18 @@ def _page(uri: str) -> str | None:
     return unquote(uri.strip("<>").rpartition(":")[2]) or None
 
 
-def _record(page: str | None, url: str, body: bytes, digest: str, length: int, refers: str | None) -> bytes:
+def _record(page: str | None, url: str, body: bytes, digest: str, length: int, refers: str | None) -> Iterator[bytes]:
+    """The record in parts: its head, the payload a chunk at a time, its end."""
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {_uri(page)}", f"WARC-Target-URI: {' '.join(url.split())}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: {sha}", f"{_LENGTH}: {length}"]
     if refers is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers)}"]
         body = b""
     head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    yield "\r\n".join(head).encode() + b"\r\n\r\n"
+    for at in range(0, len(body), CHUNK):
+        yield body[at : at + CHUNK]
+    yield b"\r\n\r\n"
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = LEAST) -> DataFrame:
@@ -91,8 +95,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(draft, compression=None)
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    record = _record(row[0], row[1], row[2].encode(), row[3], row[4], row[5])
-                    out.write(member.compress(record) + member.flush())
+                    for part in _record(row[0], row[1], row[2].encode(), row[3], row[4], row[5]):
+                        out.write(member.compress(part))
+                    out.write(member.flush())
                     n += 1
         finally:
             if out is not None:
