@@ -38,7 +38,9 @@ WIDTH, STRIDE = 32, 24
 #: Words of a sentence at most; longer ones are cut.
 SENTENCE = 32
 #: Documents of each label that the model is fitted on, in expectation.
-MOST = 3000
+MOST = 2500
+#: Sentences of clean documents that the machine is trained on, beside each one's worst.
+CLEAN = 8000
 #: Landmarks from toxic and from clean documents.
 BAD, PLAIN = 96, 32
 #: Standard deviations that a subsequence's excess in toxic documents must pass to count for landmarks.
@@ -57,6 +59,11 @@ _SIGNS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[^\S\n]+){2,}\S(?!\S)")
 
 
+def core(word: str) -> str:
+    """The word without the signs around it."""
+    return word if word.isalnum() else _EDGE.sub("", word)
+
+
 def tokens(text: str) -> list[str]:
     """Lower-cased words; a line's end is a word of its own, and letters spaced out are also joined to one word."""
     text = text.lower()
@@ -70,8 +77,8 @@ def subsequences(words: list[str], steps=STEPS):
 
     owner, windows = [], []
     for i, w in enumerate(words):
-        w = _EDGE.sub("", w)
-        for view in (w, bare) if (bare := _SIGNS.sub("", w)) != w else (w,):
+        w = core(w)
+        for view in (w,) if w.isalnum() or (bare := _SIGNS.sub("", w)) == w else (w, bare):
             for at in range(0, max(1, len(view) - (WIDTH - STRIDE)), STRIDE):
                 owner.append(i)
                 windows.append(("\2" if at == 0 else "") + view[at : at + WIDTH])
@@ -133,8 +140,12 @@ class Landmarks:
             at_pair = np.repeat(self.start[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) if len(place) else place
             m = len(self.words)
             dot = np.bincount(np.repeat(row, n) * m + self.mark[at_pair], np.repeat(w, n) * self.weight[at_pair], len(owner) * m).reshape(-1, m)
-            near = np.clip(dot / (norm[:, None] * self.norm[None, :]), 0, 1) ** POWER
-            np.maximum.at(out, owner + at, near.astype(np.float32)) if len(owner) > len(set(owner.tolist())) else out.__setitem__(owner + at, near)
+            near = np.minimum(1, dot / (norm[:, None] * self.norm[None, :])).astype(np.float32)
+            near = near * near * near if POWER == 3 else near**POWER
+            first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
+            out[owner[first] + at] = near[first]
+            if not first.all():  # further windows and views of a word
+                np.maximum.at(out, owner[~first] + at, near[~first])
         return out
 
 
@@ -154,7 +165,7 @@ def sum_by_core(counts: dict[str, int]) -> Counter:
     out: Counter = Counter()
     for w, n in counts.items():
         if n:
-            out[_EDGE.sub("", w)] += n
+            out[core(w)] += n
     return out
 
 
@@ -185,22 +196,27 @@ class Model:
         """A function from texts to scores that remembers words."""
         import numpy as np
 
-        marks, beta = Landmarks(self.words) if self.words else None, np.array(self.beta, np.float64)
+        marks, beta = Landmarks(self.words) if self.words else None, np.array(self.beta, np.float32)
         place: dict[str, int] = {}
+        known: dict[str, float] = {}
         value, stops = np.zeros(0), np.zeros(0, bool)
 
         def score(texts: list[str]) -> list[float]:
             nonlocal value, stops
             if len(place) > MEMORY:
                 place.clear()
+                known.clear()
                 value, stops = np.zeros(0), np.zeros(0, bool)
             lists = [tokens(t) for t in texts]
             news = list({w for ws in lists for w in ws if w not in place})
             if news:
                 place.update(zip(news, range(len(value), len(value) + len(news)), strict=True))
-                near = marks.kernel(news) if marks else np.zeros((len(news), 0))
-                found = np.where(near > FAINT, near, 0).astype(np.float64) @ beta
-                value, stops = np.concatenate((value, found)), np.concatenate((stops, [ends_sentence(w) for w in news]))
+                cores = [core(w) for w in news]
+                fresh = list({c for c in cores if c not in known})
+                if fresh:
+                    near = marks.kernel(fresh) if marks else np.zeros((len(fresh), 0), np.float32)
+                    known.update(zip(fresh, (np.where(near > FAINT, near, 0) @ beta).tolist(), strict=True))
+                value, stops = np.concatenate((value, [known[c] for c in cores])), np.concatenate((stops, [ends_sentence(w) for w in news]))
             most = np.full(len(texts), self.bias)
             if any(lists):
                 at = np.array([place[w] for ws in lists for w in ws], np.int64)
@@ -309,7 +325,7 @@ def train(bags: Bags, seed: int = 7) -> Model:
         part = marks.kernel(names[i : i + 8192])
         close = np.flatnonzero(part.max(1) > FAINT)
         row_of[i + close] = np.arange(kept, kept + len(close))
-        rows.append(np.where(part[close] > FAINT, part[close], 0))
+        rows.append(np.where(part[close] > FAINT, part[close], 0).astype(np.float16))
         kept += len(close)
     feature = np.concatenate(rows)
     del rows, place
@@ -319,14 +335,15 @@ def train(bags: Bags, seed: int = 7) -> Model:
     docs = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
     begin = starts_of(stops, docs)
     doc_of = docs[begin]
+    of_words = lambda by: np.concatenate([feature[i : i + 8192].astype(np.float32) @ by.astype(np.float32) for i in range(0, len(feature), 8192)])
     guess = np.concatenate((np.ones(len(chosen)), np.zeros(len(words) - len(chosen))))
-    per_word = feature @ guess.astype(np.float32)
+    per_word = of_words(guess)
     margin = np.add.reduceat(per_word[at], begin)
     ends = np.append(begin[1:], len(at))
 
     def rows_of(sentences):
         """Landmark features of the sentences, whitened, with the bias column."""
-        x = np.stack([feature[at[begin[s] : ends[s]]].sum(0) for s in sentences]).astype(np.float64)
+        x = np.stack([feature[at[begin[s] : ends[s]]].sum(0, dtype=np.float32) for s in sentences]).astype(np.float64)
         return np.hstack((x @ white, np.ones((len(x), 1))))
 
     def worst(mask):
@@ -336,7 +353,7 @@ def train(bags: Bags, seed: int = 7) -> Model:
         return last[mask[doc_of[last]]]
 
     clean = np.flatnonzero(~y[doc_of])
-    some = rng.choice(clean, min(len(clean), 20_000), replace=False)
+    some = rng.choice(clean, min(len(clean), CLEAN), replace=False)
     for _ in range(4):
         positive, hard = worst(y), worst(~y)
         use = np.concatenate((positive, np.union1d(some, hard)))
@@ -344,7 +361,7 @@ def train(bags: Bags, seed: int = 7) -> Model:
         share = np.where(t > 0, len(t) / (4 * max(1, (t > 0).sum())), 1.0)
         w = _svm(x, t, share)
         beta, bias = white @ w[:-1], float(w[-1])
-        margin = np.add.reduceat((feature @ beta.astype(np.float32))[at], begin)
+        margin = np.add.reduceat(of_words(beta)[at], begin)
     top = np.full(len(lists), bias)
     np.maximum.at(top, doc_of, margin + bias)
     slope, shift = _logistic(top, y)
