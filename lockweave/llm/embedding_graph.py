@@ -6,9 +6,10 @@
    other shard whose medoid is nearly as near; labels never share a shard.
 3. Each shard builds its part of the graph: every vector's nearest in the shard, robustly
    pruned, so that long edges survive.  The shards' adjacency lists are united.
-4. Each shard searches the united graph from its medoid, for every vector at home there:
-   greedily to the vector's surroundings, then on through all that is within the range
-   widened by ``SLACK``.  What is found is verified in double precision.
+4. Each shard searches the united graph for every vector at home there, from the vector's
+   own node on through all that is within the range widened by ``SLACK``.  What is found
+   is verified in double precision and counted; a vector for which the shard holds more,
+   by the count taken while pruning, is compared with the whole shard instead.
 5. Recall is audited by brute force for the ids divisible by ``AUDIT``, within shards
    (all a query's label), and reported by ``recall``.
 
@@ -116,19 +117,20 @@ def shards(classes: DataFrame, centres: dict) -> DataFrame:
     return classes.select("id", "label", "n", "v").mapInArrow(run, f"id {kind}, label string, n bigint, v array<double>, shard string, home boolean")
 
 
-def pruned(x, degree: int = DEGREE, alpha: float = ALPHA, near: int = NEAR) -> list:
-    """Robust-pruned neighbours of each row of x (unit vectors), as row numbers.
+def pruned(x, least: float, degree: int = DEGREE, alpha: float = ALPHA, near: int = NEAR) -> tuple[list, list]:
+    """Robust-pruned neighbours of each row of x (unit vectors), as row numbers, and how many rows it links with.
 
     Of a row's nearest, in order, one is kept unless a kept one is alpha times nearer
     to it than the row is.
     """
     import numpy as np
 
-    out = []
+    out, within = [], []
     n = len(x)
     for at in range(0, n, 512):
         sim = x[at : at + 512] @ x.T
         sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -2
+        within += (sim >= least).sum(1).tolist()
         k = min(near, n - 1)
         best = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k else np.zeros((len(sim), 0), int)
         for i in range(len(sim)):
@@ -144,28 +146,14 @@ def pruned(x, degree: int = DEGREE, alpha: float = ALPHA, near: int = NEAR) -> l
                         break
                     alive &= alpha * between[j] > d
             out.append(cand[kept])
-    return out
+    return out, within
 
 
-def search(x, edges: list, start: int, query: int, least: float, slack: float = SLACK, beam: int = 16):
-    """Rows whose cosine with row ``query`` is ``least`` or more, found along the edges from ``start``."""
+def search(x, edges: list, query: int, least: float, slack: float = SLACK):
+    """Rows whose cosine with row ``query`` is ``least`` or more, found along the edges from that row."""
     import numpy as np
 
-    q = x[query]
-    sims = {start: float(x[start] @ q)}
-    pool, done = [start], set()
-    while True:  # greedy, with a beam
-        todo = next((p for p in pool if p not in done), None)
-        if todo is None:
-            break
-        done.add(todo)
-        new = [int(e) for e in edges[todo] if int(e) not in sims]
-        if new:
-            sims.update(zip(new, (x[new] @ q).tolist(), strict=True))
-            pool = sorted({*pool, *new}, key=lambda p: (-sims[p], p))[:beam]
-        if pool[0] == query and sims[pool[0]] >= least and todo == query:
-            break
-    edge = np.array([p for p, s in sims.items() if s >= least - slack] or [pool[0]])
+    q, edge = x[query], np.array([query])
     seen = np.zeros(len(x), bool)
     seen[edge] = True
     while len(edge):  # on through all that is in the wider range
@@ -221,11 +209,12 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     def build(t: pa.Table) -> pa.Table:
         x = _matrix(t.column("v").combine_chunks())
         ids = t.column("id").to_pylist()
-        near = pruned(x)
-        return pa.table({"label": [t.column("label")[0].as_py()] * len(ids), "id": ids, "near": [[ids[j] for j in e] for e in near]}, schema=pa.schema([("label", pa.string()), ("id", pa.int64()), ("near", pa.list_(pa.int64()))]))
+        near, within = pruned(x, least)
+        within = [w if h else None for w, h in zip(within, t.column("home").to_pylist(), strict=True)]
+        return pa.table({"label": [t.column("label")[0].as_py()] * len(ids), "id": ids, "near": [[ids[j] for j in e] for e in near], "within": within}, schema=pa.schema([("label", pa.string()), ("id", pa.int64()), ("near", pa.list_(pa.int64())), ("within", pa.int64())]))
 
-    lists = fit.groupBy("label", "shard").applyInArrow(build, "label string, id bigint, near array<bigint>")
-    union = table(lists.groupBy("label", "id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+    lists = fit.groupBy("label", "shard").applyInArrow(build, "label string, id bigint, near array<bigint>, within bigint")
+    union = table(lists.groupBy("label", "id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("within").alias("within")), "graph")
     held = fit.join(union, ["label", "id"])
 
     def look(t: pa.Table) -> pa.Table:
@@ -234,7 +223,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
         x, ids, weight, home = _matrix(t.column("v").combine_chunks()), np.array(t.column("id").to_pylist()), np.array(t.column("n").to_pylist()), np.array(t.column("home").to_pylist())
         order = np.argsort(ids)
         x, ids, weight, home = x[order], ids[order], weight[order], home[order]
-        near = t.column("near").to_pylist()
+        near, within = t.column("near").to_pylist(), np.array(t.column("within").to_pylist(), object)[order]
         edges: list = [[] for _ in ids]
         for i, o in enumerate(order):
             e = np.array(near[o] or [], np.int64)
@@ -246,11 +235,13 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
             for j in e:
                 back[j].append(i)
         edges = [np.unique(np.concatenate((e, np.array(b, np.int64)))) for e, b in zip(edges, back, strict=True)]
-        start = int((x @ x.mean(0)).argmax())
         n_links, links, true = np.zeros(len(ids), np.int64), [], np.full(len(ids), -1)
         for i in np.flatnonzero(home):
-            found = search(x, edges, start, int(i), least)
+            found = search(x, edges, int(i), least)
             found = found[found != i]
+            if len(found) < within[i]:  # an island among the links: the graph doesn't hold together there
+                found = np.flatnonzero(x @ x[i] >= least)
+                found = found[found != i]
             n_links[i] = weight[found].sum()
             links.append((int(i), found))
             if audit and ids[i] % AUDIT == 0:

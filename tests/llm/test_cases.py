@@ -365,6 +365,23 @@ def test_embedding_blocks_and_recall(spark, monkeypatch):
     assert len(audit) == 11 and sum(r["found"] for r in audit) >= 0.9 * sum(r["actual"] for r in audit)
 
 
+def test_embedding_groups_larger_than_the_candidates(spark):
+    """Groups of more near copies than a vector's NEAR candidates are found whole."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for size in [70] * 8 + [100] * 4 + [300, 500]:
+        b = rng.normal(size=64)
+        rows += [(len(rows) + i, (b + rng.normal(size=64) * 0.1).tolist(), 0) for i in range(size)]
+    rows += [(len(rows) + i, rng.normal(size=64).tolist(), 0) for i in range(300)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    comp = components(len(rows), list(zip(*np.nonzero(near), strict=True)))
+    got = {r["vec_id"]: r for r in embedding_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[r[0]]["n_links"] for r in rows] == (near.sum(1) - 1).tolist()
+    assert [got[r[0]]["component_id"] for r in rows] == [int(comp[r[0]]) for r in rows]
+
+
 def test_bpe_cases(docs, none):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load(BYTE, public_tokenizers.PATTERN).core._core_bpe and {b: i for i, b in byte_bpe.load(BYTE, public_tokenizers.PATTERN).bytes_of.items()}, special_tokens={})
     got = byte_bpe.encode_decode(docs, BYTE, public_tokenizers.PATTERN).collect()
