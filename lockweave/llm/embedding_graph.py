@@ -3,15 +3,18 @@
 1. Equal vectors of one label are one class, with a count.
 2. A bounded sample gives medoids (spherical k-means, then the nearest sample vector).
    Every class goes to its nearest medoid's shard (its home) and, as a guest, to each
-   other shard whose medoid is nearly as near; labels never share a shard.
+   other shard that lies within half a link's chord of it, behind the plane that parts
+   the two medoids; labels never share a shard.  A link that crosses the plane has an
+   end within that half, so each link lies whole in the home of one of its ends; if the
+   other end's home lacks it, both are counted here.
 3. Each shard builds its part of the graph: every vector's nearest in the shard, robustly
    pruned, so that long edges survive.  The shards' adjacency lists are united.
 4. Each shard searches the united graph for every vector at home there, from the vector's
    own node on through all that is within the range widened by ``SLACK``.  What is found
    is verified in double precision and counted; a vector for which the shard holds more,
    by the count taken while pruning, is compared with the whole shard instead.
-5. Recall is audited by brute force for the ids divisible by ``AUDIT``, within shards
-   (all a query's label), and reported by ``recall``.
+5. Recall is audited by brute force for the ids divisible by ``AUDIT``, against all
+   vectors of their label.
 
 A shard of more than ``SHARD`` vectors -- a dense group that no medoid can part -- is
 dealt into blocks, and each pair of blocks is compared exactly, so none is capped.
@@ -34,10 +37,8 @@ from lockweave.llm.components import components
 SAMPLE, PER_MEDOID, MEDOIDS = 16_384, 1500, 512
 #: Vectors of one shard at most; more are compared in blocks.
 SHARD = 4096
-#: A guest's medoid is at most so much farther (chord) than its home's; for cosine 0.98 twice the link's chord is 0.4.
-OVERLAP = 0.4
-#: Shards that one vector is a guest of at most; the nearest count.
-GUEST = 4
+#: Medoids keep so many links' chords apart, or a dense group would be a guest in each of its own medoids' shards.
+APART = 2
 #: Edges of a vector in one shard; the pruning's alpha; candidates that it sees.
 DEGREE, ALPHA, NEAR = 24, 1.2, 64
 #: How far below the least cosine the search goes on.
@@ -62,7 +63,7 @@ def _matrix(column):
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def medoids(classes: DataFrame, sample: int = SAMPLE, seed: int = 5):
+def medoids(classes: DataFrame, least: float, sample: int = SAMPLE, seed: int = 5):
     """Of each dimension, the medoids of a bounded sample of the classes (by a hash of the id)."""
     import numpy as np
 
@@ -87,14 +88,20 @@ def medoids(classes: DataFrame, sample: int = SAMPLE, seed: int = 5):
             np.add.at(new, near, x)
             norm = np.sqrt((new * new).sum(1, keepdims=True))
             c = np.where(norm > 0, new / np.maximum(norm, 1e-12), c)
-        out[dim] = x[np.unique((x @ c.T).argmax(0))]
+        kept: list = []
+        for m in x[np.unique((x @ c.T).argmax(0))]:
+            if not kept or (np.array(kept) @ m).max() < 1 - APART**2 * (1 - least):
+                kept.append(m)
+        out[dim] = np.array(kept)
     return out
 
 
-def shards(classes: DataFrame, centres: dict) -> DataFrame:
-    """id, label, n, v, shard, home: a row for each shard that a class belongs to."""
+def shards(classes: DataFrame, centres: dict, least: float) -> DataFrame:
+    """id, label, n, v, shard, home, places: a row for each shard that a class belongs to; places: the numbers of all of them, its home first."""
     import pyarrow as pa
 
+    half = math.sqrt(max(0.0, 2 - 2 * least)) / 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -103,18 +110,33 @@ def shards(classes: DataFrame, centres: dict) -> DataFrame:
             for dim in np.unique(sizes):
                 batch = whole.filter(pa.array(sizes == dim))
                 x = _matrix(batch.column(3))
-                c = centres.get(int(dim))
-                far = np.sqrt(np.maximum(0, 2 - 2 * (x @ c.T))) if c is not None else np.zeros((len(x), 1))
-                order = np.argsort(far, axis=1)[:, :GUEST]
-                dist = np.take_along_axis(far, order, 1)
-                take = dist <= dist[:, :1] + OVERLAP
-                row, col = np.nonzero(take)
+                c = centres.get(int(dim), np.zeros((1, dim)))
+                sim = x @ c.T
+                first = sim.argmax(1)
+                apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
+                # how far a vector is from the plane between its medoid and another, times how far these are apart
+                take = sim.max(1)[:, None] - sim <= half * apart[first] + 1e-9
+                places = [[int(h), *(p for p in np.flatnonzero(t).tolist() if p != h)] for h, t in zip(first, take, strict=True)]
+                row = np.repeat(np.arange(len(x)), [len(p) for p in places])
                 part = batch.take(pa.array(row))
-                names = [f"{dim}:{s}" for s in order[row, col].tolist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names), pa.array(col == 0)], ["id", "label", "n", "v", "shard", "home"])
+                names = [f"{dim}:{s}" for p in places for s in p]
+                home = [i == 0 for p in places for i in range(len(p))]
+                every = pa.array(places, pa.list_(pa.int32())).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names), pa.array(home), every], ["id", "label", "n", "v", "shard", "home", "places"])
 
     kind = classes.schema["id"].dataType.simpleString()
-    return classes.select("id", "label", "n", "v").mapInArrow(run, f"id {kind}, label string, n bigint, v array<double>, shard string, home boolean")
+    return classes.select("id", "label", "n", "v").mapInArrow(run, f"id {kind}, label string, n bigint, v array<double>, shard string, home boolean, places array<int>")
+
+
+def _places(column):
+    """Of each row, its home's number; and as a matrix, whether it belongs to the shard of a number."""
+    import numpy as np
+
+    rows = column.to_pylist()
+    member = np.zeros((len(rows), 1 + max(max(p) for p in rows)), bool)
+    for i, p in enumerate(rows):
+        member[i, p] = True
+    return np.array([p[0] for p in rows]), member
 
 
 def pruned(x, least: float, degree: int = DEGREE, alpha: float = ALPHA, near: int = NEAR) -> tuple[list, list]:
@@ -186,6 +208,27 @@ def _star(x, ids, links):
     return [(ids[top(i)], ids[i]) for i in range(len(ids)) if top(i) != i]
 
 
+def actual(classes: DataFrame, least: float) -> DataFrame:
+    """id, actual: the links of the ids divisible by ``AUDIT``, by brute force over all of their label, a block at a time."""
+    import pyarrow as pa
+
+    sizes = table(classes.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts")), "sizes")
+    every = classes.withColumn("dim", F.size("v")).join(sizes, ["label", "dim"])
+    some = F.ceil(F.col("parts") / AUDIT).cast("bigint")
+    asked = every.where(F.col("id") % AUDIT == 0).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64("id"), some).alias("j"), F.lit(True).alias("asked"))
+    held = every.select("*", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), some - 1)).alias("j"), F.lit(False).alias("asked"))
+
+    def count(t: pa.Table) -> pa.Table:
+        import numpy as np
+
+        x, ids, weight, q = _matrix(t.column("v").combine_chunks()), np.array(t.column("id").to_pylist()), np.array(t.column("n").to_pylist()), np.array(t.column("asked").to_pylist())
+        b = np.flatnonzero(~q)
+        n = [int(weight[b[(x[b] @ x[i] >= least) & (ids[b] != ids[i])]].sum()) for i in np.flatnonzero(q)]
+        return pa.table({"id": pa.array(ids[q], pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return asked.union(held).groupBy("label", "dim", "i", "j").applyInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("actual"))
+
+
 def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", audit: bool = False) -> DataFrame:
     """Per vector: n_links, component_id (smallest id reachable), kept (it is that one).
 
@@ -200,8 +243,8 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
 
     whole = table(units(df, id_col, vec_col, label_col).distinct(), "units")
     classes = table(whole.groupBy("label", "v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")), "classes")
-    centres = medoids(classes)
-    dealt = table(shards(classes, centres), "shards")
+    centres = medoids(classes, least)
+    dealt = table(shards(classes, centres, least), "shards")
     sizes = dealt.groupBy("label", "shard").agg(F.count("*").alias("size"))
     large = table(sizes.where(F.col("size") > SHARD), "large")
     fit = dealt.join(large, ["label", "shard"], "left_anti")
@@ -222,6 +265,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
 
         x, ids, weight, home = _matrix(t.column("v").combine_chunks()), np.array(t.column("id").to_pylist()), np.array(t.column("n").to_pylist()), np.array(t.column("home").to_pylist())
         order = np.argsort(ids)
+        first, member = _places(t.column("places").take(pa.array(order)))
         x, ids, weight, home = x[order], ids[order], weight[order], home[order]
         near, within = t.column("near").to_pylist(), np.array(t.column("within").to_pylist(), object)[order]
         edges: list = [[] for _ in ids]
@@ -235,21 +279,20 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
             for j in e:
                 back[j].append(i)
         edges = [np.unique(np.concatenate((e, np.array(b, np.int64)))) for e, b in zip(edges, back, strict=True)]
-        n_links, links, true = np.zeros(len(ids), np.int64), [], np.full(len(ids), -1)
+        n_links, links = np.zeros(len(ids), np.int64), []
         for i in np.flatnonzero(home):
             found = search(x, edges, int(i), least)
             found = found[found != i]
             if len(found) < within[i]:  # an island among the links: the graph doesn't hold together there
                 found = np.flatnonzero(x @ x[i] >= least)
                 found = found[found != i]
-            n_links[i] = weight[found].sum()
+            n_links[i] += weight[found].sum()
+            n_links[found[~home[found] & ~member[i, first[found]]]] += weight[i]
             links.append((int(i), found))
-            if audit and ids[i] % AUDIT == 0:
-                true[i] = weight[x @ x[i] >= least].sum() - weight[i]
-        rows = [(int(ids[i]), None, int(n_links[i]), int(true[i])) for i in np.flatnonzero(home)] + [(int(a), int(b), 0, -1) for a, b in _star(x, ids, links)]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["a", "b", "n_links", "actual"])
+        rows = [(int(ids[i]), None, int(n_links[i])) for i in np.flatnonzero(home | (n_links > 0))] + [(int(a), int(b), 0) for a, b in _star(x, ids, links)]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, names=["a", "b", "n_links"])
 
-    shape = "a bigint, b bigint, n_links bigint, actual bigint"
+    shape = "a bigint, b bigint, n_links bigint"
     found = held.groupBy("label", "shard").applyInArrow(look, shape)
 
     # large shards: each pair of blocks in a task of its own
@@ -263,6 +306,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
 
         x, ids, weight, home = _matrix(t.column("v").combine_chunks()), np.array(t.column("id").to_pylist()), np.array(t.column("n").to_pylist()), np.array(t.column("home").to_pylist())
         block, lo, hi = np.array(t.column("i").to_pylist()), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        first, member = _places(t.column("places"))
         a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         n_links, links = np.zeros(len(ids), np.int64), []
         for some in np.array_split(a, max(1, len(a) // 512)):
@@ -270,18 +314,19 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
             for r, i in enumerate(some):
                 other = b[near[r]]
                 other = other[other != i]
-                n_links[i] += weight[other].sum()
+                # a vector counts at home, and as a guest what its home lacks of the other's home
+                n_links[i] += weight[other if home[i] else other[home[other] & ~member[other, first[i]]]].sum()
                 if lo != hi:
-                    n_links[other] += weight[i]
+                    n_links[other[home[other] | (home[i] & ~member[i, first[other]])]] += weight[i]
                 links.append((int(i), other))
-        rows = [(int(ids[i]), None, int(n_links[i]), -1) for i in np.flatnonzero(home)] + [(int(p), int(q), 0, -1) for p, q in _star(x, ids, links)]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=["a", "b", "n_links", "actual"])
+        rows = [(int(ids[i]), None, int(n_links[i])) for i in np.flatnonzero(home | (n_links > 0))] + [(int(p), int(q), 0) for p, q in _star(x, ids, links)]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, names=["a", "b", "n_links"])
 
     found = table(found.union(pairs.groupBy("label", "shard", "lo", "hi").applyInArrow(compare, shape)), "found")
+    linked = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("others"))
     if audit:
-        return found.where("actual >= 0").select(F.col("a").alias(id_col), "actual", F.col("n_links").alias("found"))
+        return actual(classes, least).join(linked, "id").select(F.col("id").alias(id_col), "actual", F.col("others").alias("found"))
     # the class's own copies link with each other; back to every vector
-    linked = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("others"))
     met = components(found.where("b is not null").select("a", "b"))
     known = classes.join(linked, "id").join(met.withColumnRenamed("node", "id"), "id", "left").select("label", "v", (F.col("others") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     each = table(whole.join(table(known, "known"), ["label", "v"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")), "linked")

@@ -382,6 +382,26 @@ def test_embedding_groups_larger_than_the_candidates(spark):
     assert [got[r[0]]["component_id"] for r in rows] == [int(comp[r[0]]) for r in rows]
 
 
+def test_embedding_links_across_many_shards(spark, monkeypatch):
+    """Each link is found by both ends wherever the medoids lie, in shards of either kind; the audit looks at the whole label."""
+    monkeypatch.setattr(embedding_graph, "PER_MEDOID", 30)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1000):
+        b = rng.normal(size=64)
+        rows += [(2 * i, b.tolist(), 0), (2 * i + 1, (b + rng.normal(size=64) * 0.195).tolist(), 0)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T >= 0.98).sum(1) - 1).tolist()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for most in (4096, 100):
+        monkeypatch.setattr(embedding_graph, "SHARD", most)
+        got = {r["vec_id"]: r["n_links"] for r in embedding_graph.near_duplicates(df).collect()}
+        assert [got[r[0]] for r in rows] == want
+        audit = {r["vec_id"]: (r["actual"], r["found"]) for r in embedding_graph.near_duplicates(df, audit=True).collect()}
+        assert audit == {i: (want[i], want[i]) for i in range(0, 2000, 20)}
+
+
 def test_bpe_cases(docs, none):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load(BYTE, public_tokenizers.PATTERN).core._core_bpe and {b: i for i, b in byte_bpe.load(BYTE, public_tokenizers.PATTERN).bytes_of.items()}, special_tokens={})
     got = byte_bpe.encode_decode(docs, BYTE, public_tokenizers.PATTERN).collect()
