@@ -7,8 +7,9 @@ with the same vector form an equivalence class; Spark finds classes by a hash of
 vector, a sum over pages, so that no host's pages ever meet in one task.
 
 A class is valid if it occurs on enough of the host's pages, and nests into the
-template below the class that holds its tokens' parent path.  Of a valid template
-the texts are fixed, and what lies between is slots.  The element of the template
+template below the class that holds its topmost tokens' parent path.  A text is fixed
+if elements of some pages are of its class: wherever these are, it is, as often -- also
+on a host with page types that share little.  What lies between is slots.  The element of the template
 under which the most text varies, outside of menus and other such regions, is the
 host's main element; its slots are the page's main text.  A page of a host with too
 few pages, or one that lacks its host's main element, is judged by its own tokens.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lockweave.llm.common import need, table
 
-#: A template needs so many pages; a class is valid on this share of them; a text on this share is fixed.
-PAGES, VALID, FIXED = 4, 0.5, 0.6
+#: A template, and a class with fixed texts, needs so many pages; a class is valid on this share of the host's.
+PAGES, VALID = 4, 0.5
 #: Templates of up to so many bytes in all are broadcast; larger ones are joined by host.
 BROADCAST = 8 << 20
 
@@ -225,26 +226,26 @@ def templates(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     tokens = table(occurrences(pages, url_col, text_col), "tokens")
     sizes = pages.select(host_of(url_col).alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
     hosts = table(sizes, "hosts")
-    # what varies under a path: all its text but the fixed; few rows a host, since paths are shapes
-    text = tokens.where("fixed").join(hosts, "host")
-    whole = F.col("pages") >= FIXED * F.col("n")
-    mass = text.groupBy("host", "path", "outside").agg(F.sum(F.when(whole, 0).otherwise(F.col("n_chars"))).alias("n_chars"), F.collect_set(F.when(whole, F.col("token"))).alias("keys"))
-    # classes of element tokens, and where they hang: a class is valid if it is frequent and its parent's is
-    shape = tokens.where("not fixed").join(hosts, "host").where(F.col("pages") >= VALID * F.col("n"))
-    classes = shape.groupBy("host", "vector").agg(F.collect_set("path").alias("paths"), F.max("pages").alias("pages"))
-    tree = classes.groupBy("host").agg(F.flatten(F.collect_list(F.transform("paths", lambda p: F.struct(p.alias("path"), F.col("vector").alias("class"))))).alias("tree"))
+    shape = tokens.where("not fixed").join(hosts, "host")
+    # a text is fixed if its class holds an element; what varies under a path is all its other text; few rows a host, since paths are shapes
+    bound = shape.where(f"pages >= {PAGES}").select("host", "vector", "pages", F.lit(True).alias("whole")).distinct()
+    text = tokens.where("fixed").join(hosts, "host").join(bound, ["host", "vector", "pages"], "left")
+    mass = text.groupBy("host", "path", "outside").agg(F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n_chars"))).alias("n_chars"), F.collect_set(F.when(F.col("whole"), F.col("token"))).alias("keys"))
+    classes = shape.where(F.col("pages") >= VALID * F.col("n")).groupBy("host", "vector").agg(F.collect_set("path").alias("paths"))
+    tree = classes.groupBy("host").agg(F.collect_list("paths").alias("tree"))
     by_host = mass.groupBy("host").agg(F.collect_list(F.struct("path", "outside", "n_chars")).alias("mass"), F.flatten(F.collect_list("keys")).alias("keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mains = []
             for tree, mass in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                cls = {x["path"]: x["class"] for x in tree or []}
                 valid: set[str] = set()
-                for p in sorted(cls, key=lambda p: (p.count("/"), p)):  # parents first: nesting
-                    up = p.rsplit("/", 1)[0]
-                    if not up or up in valid:
-                        valid.add(p)
+                depth = lambda p: p.count("/")
+                for paths in sorted(map(sorted, tree or []), key=lambda c: (min(map(depth, c)), c)):  # parents first: nesting
+                    top = min(map(depth, paths))
+                    ups = {p.rsplit("/", 1)[0] for p in paths if depth(p) == top}
+                    if all(not up or up in valid for up in ups):
+                        valid.update(paths)
                 held: dict[str, tuple[int, bool]] = {}
                 for m in mass or []:  # a text under no element of the template counts for the nearest that is
                     p = m["path"]

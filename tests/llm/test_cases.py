@@ -249,6 +249,18 @@ def test_html_template_without_article(spark):
     assert all(r["text"] == " ".join(f"story{r['page_id']}n{j}" for j in range(30)) for r in got)
 
 
+def test_html_fixed_texts_of_page_types(spark):
+    """A text that goes with the elements of one page type is fixed, however few of the host's pages are of that type."""
+    page = "<html><body><div class='box'><div class='{}'><p>{}</p><p>{}</p></div></div></body></html>"
+    story = lambda i: " ".join(f"story{i}n{j}" for j in range(30))
+    rows = [(i, f"http://x.org/{i}", page.format(*(("report", "Read more") if i < 7 else ("talk", "Write a reply")), story(i))) for i in range(12)]
+    # an article that most pages quote goes with no element
+    rows += [(20 + i, f"http://y.org/{i}", page.format("report", "Read more", story(20 + i) + ("</p><p>quoted line" if i < 7 else "</p><p>another" + str(i)))) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == story(i) for i in range(12))
+    assert all(got[20 + i] == story(20 + i) + ("\nquoted line" if i < 7 else f"\nanother{i}") for i in range(10))
+
+
 def test_malformed_html():
     for text in ["<", "<<p>a", "<p", "a<!-- b", "<script>x", "</", "<a href='x>y", "&#xZZ; &amp", "<p>a<p>b</div></p>"]:
         list(html_text.blocks(text))
