@@ -1,8 +1,8 @@
 """Main text of web pages by deducing each host's template from its pages.
 
 A page is a sequence of tokens: elements, told apart by their path of open elements
-(tag and first class), and texts, told apart by path and content.  Over the pages of
-one host every token has an occurrence vector: how often each page holds it.  Tokens
+(tag and first class), and texts, told apart by path and content.  Copies of a page are
+one page, however many rows there are.  Over the pages of one host every token has an occurrence vector: how often each page holds it.  Tokens
 with the same vector form an equivalence class; Spark finds classes by a hash of the
 vector, a sum over pages, so that no host's pages ever meet in one task.
 
@@ -12,7 +12,8 @@ if elements of some pages are of its class: wherever these are, it is, as often
 on a host with page types that share little.  What lies between is slots.  The element of the template
 under which the most text varies, outside of menus and other such regions, is the
 host's main element; its slots are the page's main text.  A page of a host with too
-few pages, or one that lacks its host's main element, is judged by its own tokens.
+few pages, or one that lacks its host's main element, is judged by its own tokens;
+one with fixed texts only keeps them, since nothing tells them from a text of its own.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ def main_of(mass: dict[str, tuple[int, bool]]) -> str:
     while at:
         below = [p for p in total if p.startswith(at + "/") and "/" not in p[len(at) + 1 :] and p.rsplit("/", 1)[1].split(".")[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "tr", "table", "ul", "ol")]
         best = max(below, key=lambda p: (total[p], p), default=None)
-        if best is None or total[best] < 0.6 * total[at]:
+        if best is None or not total[best] or total[best] < 0.6 * total[at]:
             break
         at = best
     return at
@@ -187,11 +188,16 @@ def host_of(url_col: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-def occurrences(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
-    """Per host and token: the hash of its occurrence vector, its pages, and its characters; summed over a batch already."""
+def contents(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
+    """host, page (a digest), html: each host's pages, copies once."""
+    html = F.coalesce(F.col(text_col), F.lit(""))
+    return pages.select(host_of(url_col).alias("host"), F.md5(html).alias("page"), html.alias("html")).dropDuplicates(["host", "page"])
+
+
+def occurrences(src: DataFrame) -> DataFrame:
+    """Per host and token of ``contents``: the hash of its occurrence vector, its pages, and its characters; summed over a batch already."""
     import pyarrow as pa
 
-    src = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))).alias("page"), F.col(text_col).alias("html"))
     names = ["host", "token", "path", "outside", "fixed", "vector", "pages", "n_chars"]
     types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -223,8 +229,9 @@ def templates(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     """One row per host that has a template: its main element's path and the keys of its fixed texts."""
     import pyarrow as pa
 
-    tokens = table(occurrences(pages, url_col, text_col), "tokens")
-    sizes = pages.select(host_of(url_col).alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
+    src = contents(pages, url_col, text_col)
+    tokens = table(occurrences(src), "tokens")
+    sizes = src.select("host", "page").groupBy("host").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
     hosts = table(sizes, "hosts")
     shape = tokens.where("not fixed").join(hosts, "host")
     # a text is fixed if its class holds an element; what varies under a path is all its other text; few rows a host, since paths are shapes
@@ -270,7 +277,9 @@ def extract_page(page: str, main: str | None, fixed: frozenset[int] | set[int])
             mass[path] = (mass.get(path, (0, out))[0] + len(text), out)
         main = main_of(mass)
     semantic = main.rsplit("/", 1)[-1].split(".")[0] in ("article", "main")
-    return "\n".join(text for path, out, text in found if not out and (not main or inside(path, main)) and (semantic or not fixed or _key(path, text) not in fixed))
+    own = [(path, text) for path, out, text in found if not out and (not main or inside(path, main))]
+    varying = [text for path, text in own if semantic or not fixed or _key(path, text) not in fixed]
+    return "\n".join(varying or [text for _, text in own])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -279,7 +288,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
     Columns: ``id_col``, ``url_col``, text, n_chars.  Blocks come in page order, one a
     line, character references decoded.  Fixed texts of a template are left out
     except within an article or main element, whose text is the page's own even if
-    other pages copy it.  Defined cases: a null or empty page has an empty text; a
+    other pages copy it, and of a page whose main element holds nothing else.  Defined cases: a null or empty page has an empty text; a
     null url is of the host without a name; rows with a null or repeated id give a row
     each; an empty table gives none; further columns are not read.
     """

@@ -261,6 +261,17 @@ def test_html_fixed_texts_of_page_types(spark):
     assert all(got[20 + i] == story(20 + i) + ("\nquoted line" if i < 7 else f"\nanother{i}") for i in range(10))
 
 
+def test_html_keeps_copied_articles(spark):
+    """Copies of an article are one page, and pages that share all of their main element's text keep it."""
+    page = "<html><body><div class='box'><p>Read more</p><p>{}</p></div><aside>{}</aside></body></html>"
+    story = lambda i: " ".join(f"story{i}n{j}" for j in range(30))
+    rows = [(i, f"http://x.org/{i}", page.format(story(max(0, i - 30)), "")) for i in range(36)]  # 31 copies of one article
+    rows += [(40 + i, f"http://y.org/{i}", page.format(story(40), f"side {i}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == story(max(0, i - 30)) for i in range(36))
+    assert all(got[40 + i] == f"Read more\n{story(40)}" for i in range(6))
+
+
 def test_malformed_html():
     for text in ["<", "<<p>a", "<p", "a<!-- b", "<script>x", "</", "<a href='x>y", "&#xZZ; &amp", "<p>a<p>b</div></p>"]:
         list(html_text.blocks(text))
