@@ -23,8 +23,8 @@ from lockweave.llm.common import need, renamed, table, tidy
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern counts if it has so many distinct known values and at least this confidence.
 SUPPORT, CONFIDENCE = 5, 0.8
-#: Rounds over the graph at most; fewer if a round discovers nothing.
-ROUNDS = 4
+#: Rounds over the graph go on until no value is new and no score moves by more than STILL; past LIMIT rounds that is an error.
+STILL, LIMIT = 1e-9, 200
 #: Lists of spans of up to so many bytes are broadcast, so that texts aren't shuffled; larger ones are joined.
 BROADCAST = 64 << 20
 
@@ -170,8 +170,8 @@ def discover(graph: DataFrame) -> DataFrame:
     known = graph.where("base").select("kind", "value").distinct().withColumn("sure", F.lit(1.0))
     edges = table(graph.select("kind", "pattern", "value").distinct(), "edges")
     values = known = table(known, "known")
-    before = -1
-    for _ in range(ROUNDS):
+    before = known.limit(0)
+    for _ in range(LIMIT):
         weighed = edges.join(values, ["kind", "value"], "left").withColumn("sure", F.coalesce("sure", F.lit(0.0)))
         patterns = weighed.groupBy("kind", "pattern").agg(F.avg("sure").alias("confidence"), F.count(F.when(F.col("sure") >= CONFIDENCE, 1)).alias("support"))
         good = table(patterns.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("kind", "pattern", "confidence"), "patterns")
@@ -179,11 +179,12 @@ def discover(graph: DataFrame) -> DataFrame:
         doubt = edges.join(good, ["kind", "pattern"]).groupBy("kind", "value").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))).alias("d"))
         news = doubt.join(known.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", (1 - F.exp("d")).alias("sure"))
         found = table(news, "found")
-        n = found.count()
-        if n == before or not n:
-            break
-        before, values = n, known.union(found)
-    return found.select("kind", "value")
+        both = found.join(before.withColumnRenamed("sure", "was"), ["kind", "value"], "full")
+        moved = both.where(F.col("sure").isNull() | F.col("was").isNull() | (F.abs(F.col("sure") - F.col("was")) > STILL))
+        if moved.isEmpty():
+            return found.select("kind", "value")
+        before, values = found, known.union(found)
+    raise RuntimeError(f"discover: {LIMIT} rounds were not enough")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:

@@ -291,6 +291,16 @@ def test_pii_discovers_by_context(spark):
     assert got[100] == "phone:11:23" and got[101] == ""
 
 
+def test_pii_discovers_by_long_chains(spark):
+    """Each level's values are found by a pattern that counts only once the level before is known."""
+    rows = []
+    for level in range(1, 9):
+        new = [f"v{i}_{j}" for i in (level - 1, level) for j in range(5) if i]
+        rows += [("email", f"p{level}", f"base{j}", True) for j in range(30)] + [("email", f"p{level}", v, False) for v in new]
+    found = pii.discover(spark.createDataFrame(rows, "kind string, pattern string, value string, base boolean").distinct()).collect()
+    assert {r["value"] for r in found} == {f"v{i}_{j}" for i in range(1, 9) for j in range(5)}
+
+
 def test_toxicity(docs, none, labels, spark):
     flat = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(flat) == 7 and all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in flat)
