@@ -126,7 +126,7 @@ class Bpe:
         return b"".join([get(m) or new(m) for m in self.matches(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids: the two halves' bytes, one after the other."""
+        """The bytes of the ids, one after the other."""
         import numpy as np
 
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
