@@ -4,12 +4,14 @@ Every task packs the documents it reads, online: a level array holds how many
 windows are filled to each level, and a piece goes to the level at which the sum
 of squared counts over partly filled levels becomes least (ties: the fullest).
 Documents longer than a sequence fill whole sequences first; what is left is the
-piece.  Windows still open when a task ends, or when more than ``OPEN`` are open,
-are laid end to end and cut anew at the sequence length; the task's last short
-stretch is cut at powers of two, which need no padding.
+piece.  When a task ends its open windows are settled: as many of the fullest as its
+ids can fill stay as the rule placed them, and the emptiest give their ids, cut
+wherever a gap ends, to fill these up; the last short stretch is cut at powers of
+two, which need no padding.
 
 Nothing is shuffled and tasks share nothing, so a lost task is packed again from
-its own input.  A task's memory holds one batch of texts and the open windows.
+its own input.  A task's memory holds one batch of texts and the open windows; when
+these hold ``HELD`` ids they are settled in the same way, and packing goes on.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from lockweave.llm.common import need, tidy
 
-#: Windows that a task keeps open at most.
-OPEN = 2048
+#: Ids that a task's open windows hold at most.
+HELD = 1 << 24
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
 MEMORY = 250_000
 #: Characters below this one are split here.
@@ -100,13 +102,13 @@ def load(file: str) -> WordBpe:
 class SumOfSquares:
     """The online packer of one task.  ``add`` and ``close`` yield finished sequences: lists of pieces."""
 
-    def __init__(self, size: int, open_most: int = OPEN):
+    def __init__(self, size: int, held_most: int = HELD):
         import numpy as np
 
-        self.np, self.size, self.open_most = np, size, open_most
+        self.np, self.size, self.held_most = np, size, held_most
         self.count = np.zeros(size + 1, np.int64)  # the level array
         self.windows: list[list[list[Piece]]] = [[] for _ in range(size)]
-        self.n_open = 0
+        self.held = 0
 
     def level_for(self, s: int) -> int:
         """The level that a piece of ``s`` ids goes to; 0 is a new window."""
@@ -133,50 +135,58 @@ class SumOfSquares:
             if at:
                 window = self.windows[at].pop()
                 self.count[at] -= 1
-                self.n_open -= 1
             else:
                 window = []
             window.append(piece)
             if at + s == size:
+                self.held -= at
                 yield window
             else:
                 self.windows[at + s].append(window)
                 self.count[at + s] += 1
-                self.n_open += 1
-                if self.n_open > self.open_most:
-                    yield from self._relay(last=False)
-
-    def _relay(self, last: bool) -> Iterator[list[Piece]]:
-        """Lay the open windows' pieces end to end and cut them at the sequence length."""
-        now: list[Piece] = []
-        room = self.size
-        todo = [p for level in reversed(self.windows) for w in level for p in w]
-        self.windows, self.n_open = [[] for _ in range(self.size)], 0
+                self.held += s
+                if self.held > self.held_most:
+                    yield from self._settle()
+
+    def _settle(self) -> Iterator[list[Piece]]:
+        """Fill the fullest windows up with the ids of the emptiest; what is less than a window stays open."""
+        size = self.size
+        todo = [(level, w) for level in range(size - 1, 0, -1) for w in self.windows[level]]
+        full = self.held // size
+        self.windows, self.held = [[] for _ in range(size)], self.held % size
         self.count[:] = 0
-        left = sum(len(p[2]) // 4 for p in todo)
-        if not left:
-            return
-        if last and left < room:
-            room = 1 << (left.bit_length() - 1)
-        for doc, start, ids, total in todo:
-            while ids:
-                take = ids[: 4 * room]
-                now.append((doc, start, take, total))
-                n = len(take) // 4
-                ids, start, room, left = ids[len(take) :], start + n, room - n, left - n
-                if not room:
-                    yield now
-                    now, room = [], self.size
-                    if last and 0 < left < room:
-                        room = 1 << (left.bit_length() - 1)
-        if now:
-            level = sum(len(p[2]) // 4 for p in now)
-            self.windows[level].append(now)
-            self.count[level] += 1
-            self.n_open = 1
+        given = [p for _, w in reversed(todo[full:]) for p in w]
+        given.reverse()
+
+        def take(room: int) -> Iterator[Piece]:
+            while room:
+                doc, start, ids, total = given.pop()
+                n = min(room, len(ids) // 4)
+                yield doc, start, ids[: 4 * n], total
+                if 4 * n < len(ids):
+                    given.append((doc, start + n, ids[4 * n :], total))
+                room -= n
+
+        for level, window in todo[:full]:
+            yield [*window, *take(size - level)]
+        if self.held:
+            self.windows[self.held].append(list(take(self.held)))
+            self.count[self.held] = 1
 
     def close(self) -> Iterator[list[Piece]]:
-        yield from self._relay(last=True)
+        yield from self._settle()
+        left = [p for p in self.windows[self.held].pop()][::-1] if self.held else []
+        while left:
+            room, now = 1 << (self.held.bit_length() - 1), []
+            self.held -= room
+            while room:
+                doc, start, ids, total = left.pop()
+                n = min(room, len(ids) // 4)
+                now.append((doc, start, ids[: 4 * n], total))
+                if 4 * n < len(ids):
+                    left.append((doc, start + n, ids[4 * n :], total))
+                room -= n
+            yield now
 
 
 def pack(df: DataFrame, tokenizer_file: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
