@@ -17,15 +17,15 @@ SPACE = "\\x20\\x09-\\x0D"
 table = settle
 
 
-#: Rows that pass to a Python worker at a time: texts can be long, and both sides hold a batch whole.
-BATCH = 1000
+#: Bytes that pass to a Python worker at a time: texts can be long, and both sides hold a batch whole.
+BATCH = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, with the session's batches for Python workers held to ``BATCH`` rows, and this code sent to them."""
+    """``df``, with the session's batches for Python workers held to ``BATCH`` bytes, and this code sent to them."""
     ship(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH:
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).rstrip("b")) <= BATCH:
         conf.set(key, str(BATCH))
     return df
 

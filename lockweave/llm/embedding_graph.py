@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a robust-pruned neighbourhood graph over overlapping shards.
 
 1. Equal vectors of one label are one class, with a count.
-2. A bounded sample gives medoids (spherical k-means, then the nearest sample vector).
+2. A bounded sample gives medoids, in proportion to the vectors up to ``MEDOIDS``
+   (spherical k-means, in two levels when there are many, then the nearest sample vector).
    Every class goes to its nearest medoid's shard (its home) and, as a guest, to each
    other shard that lies within half a link's chord of it, behind the plane that parts
    the two medoids; labels never share a shard.  A link that crosses the plane has an
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from lockweave.llm.common import need, table
 from lockweave.llm.components import components
 
-#: Vectors that medoids are fitted on, in expectation; vectors that a medoid should stand for; most medoids.
-SAMPLE, PER_MEDOID, MEDOIDS = 16_384, 1500, 512
+#: Vectors that a medoid should stand for; most medoids; most that are fitted at once, beyond which cells are parted again.
+PER_MEDOID, MEDOIDS, FLAT = 1500, 8192, 128
+#: Vectors of the sample that medoids are fitted on: so many for each medoid and at least, in expectation; bytes that it has at most.
+PER_FIT, SAMPLE, SAMPLE_BYTES = 32, 16_384, 128 << 20
 #: Vectors of one shard at most; more are compared in blocks.
 SHARD = 4096
 #: Medoids keep so many links' chords apart, or a dense group would be a guest in each of its own medoids' shards.
@@ -63,36 +66,62 @@ def _matrix(column):
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def medoids(classes: DataFrame, least: float, sample: int = SAMPLE, seed: int = 5):
+def _cells(x, k: int, rng):
+    """The number of each row's cell, of k at most: spherical k-means, beyond ``FLAT`` cells in two levels."""
+    import numpy as np
+
+    now = min(k, FLAT, len(x))
+    c = x[rng.choice(len(x), now, replace=False)]
+    for _ in range(8):
+        near = _nearest(x, c)
+        new = np.zeros_like(c)
+        np.add.at(new, near, x)
+        norm = np.sqrt((new * new).sum(1, keepdims=True))
+        c = np.where(norm > 0, new / np.maximum(norm, 1e-12), c)
+    near = _nearest(x, c)
+    if k <= FLAT:
+        return near
+    out, first = np.zeros(len(x), np.int64), 0
+    for i in np.unique(near):
+        rows = np.flatnonzero(near == i)
+        own = _cells(x[rows], max(1, min(FLAT, len(rows), round(k * len(rows) / len(x)))), rng)
+        out[rows] = first + own
+        first += int(own.max()) + 1
+    return out
+
+
+def _nearest(x, c):
+    """The row of c that is nearest to each row of x."""
+    import numpy as np
+
+    step = max(1, (1 << 21) // len(c))
+    return np.concatenate([(x[at : at + step] @ c.T).argmax(1) for at in range(0, len(x), step)])
+
+
+def medoids(classes: DataFrame, least: float, seed: int = 5):
     """Of each dimension, the medoids of a bounded sample of the classes (by a hash of the id)."""
     import numpy as np
 
-    n = classes.count()
-    if not n:
-        return {}
-    part = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / n)))
-    by_size: dict[int, list] = {}
-    for r in part.orderBy("id").select("v").toLocalIterator():
-        by_size.setdefault(len(r["v"]), []).append(r["v"])
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     out = {}
-    for dim, rows in by_size.items():
-        x = np.array(rows)
+    for dim, n in sizes.items():  # a row for each length of vectors
+        k = max(1, min(MEDOIDS, round(n / PER_MEDOID)))
+        want = min(max(SAMPLE, PER_FIT * k), max(1, SAMPLE_BYTES // (8 * dim)))
+        part = classes.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < math.ceil(1_000_000_000 * min(1.0, want / n))))
+        x = np.array([r["v"] for r in part.select("id", "v").orderBy("id").toLocalIterator()])
+        if not len(x):
+            continue
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        k = max(1, min(MEDOIDS, len(x), round(n * len(rows) / sum(map(len, by_size.values())) / PER_MEDOID)))
-        rng = np.random.default_rng(seed)
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(8):
-            near = (x @ c.T).argmax(1)
-            new = np.zeros_like(c)
-            np.add.at(new, near, x)
-            norm = np.sqrt((new * new).sum(1, keepdims=True))
-            c = np.where(norm > 0, new / np.maximum(norm, 1e-12), c)
-        kept: list = []
-        for m in x[np.unique((x @ c.T).argmax(0))]:
-            if not kept or (np.array(kept) @ m).max() < 1 - APART**2 * (1 - least):
-                kept.append(m)
-        out[dim] = np.array(kept)
+        cell = _cells(x, min(k, len(x)), np.random.default_rng(seed))
+        kept, m = np.zeros((cell.max() + 1, dim)), 0
+        for i in np.unique(cell):
+            rows = x[cell == i]
+            best = rows[int((rows @ rows.sum(0)).argmax())]
+            if not m or (kept[:m] @ best).max() < 1 - APART**2 * (1 - least):
+                kept[m] = best
+                m += 1
+        out[dim] = kept[:m]
     return out
 
 
@@ -111,12 +140,14 @@ def shards(classes: DataFrame, centres: dict, least: float) -> DataFrame:
                 batch = whole.filter(pa.array(sizes == dim))
                 x = _matrix(batch.column(3))
                 c = centres.get(int(dim), np.zeros((1, dim)))
-                sim = x @ c.T
-                first = sim.argmax(1)
-                apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
                 # how far a vector is from the plane between its medoid and another, times how far these are apart
-                take = sim.max(1)[:, None] - sim <= half * apart[first] + 1e-9
-                places = [[int(h), *(p for p in np.flatnonzero(t).tolist() if p != h)] for h, t in zip(first, take, strict=True)]
+                places: list[list[int]] = []
+                for at in range(0, len(x), step := max(1, (1 << 21) // len(c))):
+                    sim = x[at : at + step] @ c.T
+                    first = sim.argmax(1)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[first] @ c.T)))
+                    take = sim.max(1)[:, None] - sim <= half * apart + 1e-9
+                    places += [[int(h), *(p for p in np.flatnonzero(t).tolist() if p != h)] for h, t in zip(first, take, strict=True)]
                 row = np.repeat(np.arange(len(x)), [len(p) for p in places])
                 part = batch.take(pa.array(row))
                 names = [f"{dim}:{s}" for p in places for s in p]

@@ -427,8 +427,9 @@ def test_embedding_links_across_many_shards(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = ((x @ x.T >= 0.98).sum(1) - 1).tolist()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    for most in (4096, 100):
+    for most, flat in ((4096, 128), (100, 6)):  # with six medoids at once they are fitted in two levels
         monkeypatch.setattr(embedding_graph, "SHARD", most)
+        monkeypatch.setattr(embedding_graph, "FLAT", flat)
         got = {r["vec_id"]: r["n_links"] for r in embedding_graph.near_duplicates(df).collect()}
         assert [got[r[0]] for r in rows] == want
         audit = {r["vec_id"]: (r["actual"], r["found"]) for r in embedding_graph.near_duplicates(df, audit=True).collect()}
