@@ -34,18 +34,25 @@ BROADCAST = 8 << 20
 
 # HTML's own element kinds, and words that name regions other than the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select xmp noembed noframes".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-OUTSIDE = frozenset("nav footer aside form button dialog menu head input fieldset".split())
+OUTSIDE = frozenset("nav footer aside form button dialog menu head input fieldset noscript template svg math object select".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 REGIONS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended "
     "share sharing social notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments reply replies respond disqus pagination pager skip toolbar".split()
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that stand beside a region's own in names such as main-nav or sidebar_left (fixed values of this library).
+BESIDE = frozenset("left right top bottom main site page global primary secondary first last box bar list block wrapper wrap container section inner outer item items area unit slot link links content body text title form button icon icons row col column columns mobile desktop sticky fixed".split())
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _END = re.compile(r"""(?:[^>"']|"[^"<]*"|'[^'<]*')*+>""")
 _WORD = re.compile(r"[a-z]+")
+_SELF = re.compile(r"""[\s"']/$""")
+#: Where a raw element without an end tag is taken to end.
+_STOP = re.compile(rf"</?(?:{'|'.join(sorted(CLOSES_P | {'body', 'html', 'head'}))})(?=[\s/>])", re.I)
 
 
 def parts(page: str) -> Iterator[tuple[str, str, str]]:
@@ -85,23 +92,40 @@ def parts(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", tag, ""
         else:
             yield "open", tag, page[name.end() : stop - 1]
-            if tag in RAW:
+            if tag in RAW and not _SELF.search(page, name.end(), stop - 1):
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, stop)
+                if not close:
+                    close = _STOP.search(page, stop)
+                    yield "close", tag, ""
                 stop = close.start() if close else n
         at = stop
 
 
-def _region(tag: str, attrs: str) -> tuple[str, bool]:
-    """The element's name within a path, and whether it is a region other than the article."""
-    if not attrs or ("class" not in attrs and "id" not in attrs and "role" not in attrs and "hidden" not in attrs):
-        return tag, tag in OUTSIDE or tag in RAW
-    first, out = "", tag in OUTSIDE or tag in RAW
+def _names(value: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role names one of the ``words``: by itself, or beside words of place and shape only."""
+    for token in value.split():
+        found = _WORD.findall(token)
+        of = [w in words or w.rstrip("s") in words for w in found]
+        if any(of) and all(o or w in BESIDE for o, w in zip(of, found, strict=True)):
+            return True
+    return False
+
+
+def _region(tag: str, attrs: str, within: bool) -> tuple[str, bool]:
+    """The element's name within a path, and whether it is a region other than the article.
+
+    An article or main element is none, unless it is a reader's comment or lies ``within`` another one.
+    """
+    out = tag in OUTSIDE or tag in RAW
+    if not attrs or ("class" not in attrs.lower() and "id" not in attrs.lower() and "role" not in attrs.lower()):
+        return tag, out
+    first, words = "", COMMENTS if tag in ("article", "main") and not within else REGIONS
     for k, a, b, c in _ATTR.findall(attrs):
         key, value = k.lower(), (a or b or c).lower()
         if key == "class":
-            first = (value.split() or [""])[0]
+            first = first or (value.split() or [""])[0].replace("/", "_")
         if key in ("class", "id", "role") and tag not in ("html", "body"):
-            out = out or any(w in REGIONS or w.rstrip("s") in REGIONS for w in _WORD.findall(value)) and tag not in ("article", "main")
+            out = out or _names(value, words)
         if key == "hidden" or key == "aria-hidden" and value == "true":
             out = out or tag not in ("html", "body")
     return f"{tag}.{first}" if first else tag, out
@@ -131,14 +155,17 @@ def blocks(page: str) -> Iterator[tuple[str, bool, str, str]]:
         if text := flush():
             yield *path(), text, "text"
         if kind == "open":
+            if tag in CLOSES_P and any(s[0] in FOREIGN for s in stack):  # what an unclosed drawing can't hold ends it
+                del stack[next(i for i, s in enumerate(stack) if s[0] in FOREIGN) :]
             if tag in CLOSES_P and stack and stack[-1][0] == "p":
                 stack.pop()
             if stack and (tag == "li" and stack[-1][0] == "li" or tag in ("td", "th") and stack[-1][0] in ("td", "th") or tag in ("dt", "dd") and stack[-1][0] in ("dt", "dd") or tag in ("tr",) and stack[-1][0] in ("tr", "td", "th")):
                 stack.pop()
-            name, out = _region(tag, rest)
+            within = any(s[0] in ("article", "main") for s in stack)
+            name, out = _region(tag, rest, within)
             up, above = path()
             # a header is a region of the page, or of an article an introduction
-            out = out or above or tag == "header" and not any(s[0] in ("article", "main") for s in stack)
+            out = out or above or tag == "header" and not within
             here = f"{up}/{name}"
             yield here, out, "", "open"
             if tag not in VOID and not rest.endswith("/"):
@@ -225,8 +252,12 @@ def occurrences(src: DataFrame) -> DataFrame:
     return found.groupBy("host", "token", "path", "outside", "fixed").agg(total.cast("bigint").alias("vector"), F.sum("pages").alias("pages"), F.sum("n_chars").alias("n_chars"))
 
 
+#: A path whose last element is an article or main.
+_SEMANTIC = r"/(article|main)(\.[^/]*)?$"
+
+
 def templates(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
-    """One row per host that has a template: its main element's path and the keys of its fixed texts."""
+    """One row per host that has a template: its main element's path and the keys of the fixed texts in it."""
     import pyarrow as pa
 
     src = contents(pages, url_col, text_col)
@@ -234,37 +265,48 @@ def templates(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
     sizes = src.select("host", "page").groupBy("host").agg(F.count("*").alias("n")).where(f"n >= {PAGES}")
     hosts = table(sizes, "hosts")
     shape = tokens.where("not fixed").join(hosts, "host")
-    # a text is fixed if its class holds an element; what varies under a path is all its other text; few rows a host, since paths are shapes
+    # a text is fixed if its class holds an element; what varies is all other text
     bound = shape.where(f"pages >= {PAGES}").select("host", "vector", "pages", F.lit(True).alias("whole")).distinct()
-    text = tokens.where("fixed").join(hosts, "host").join(bound, ["host", "vector", "pages"], "left")
-    mass = text.groupBy("host", "path", "outside").agg(F.sum(F.when(F.col("whole"), 0).otherwise(F.col("n_chars"))).alias("n_chars"), F.collect_set(F.when(F.col("whole"), F.col("token"))).alias("keys"))
+    text = table(tokens.where("fixed").join(hosts, "host").join(bound, ["host", "vector", "pages"], "left").select("host", "token", "path", "outside", "n_chars", F.coalesce("whole", F.lit(False)).alias("whole")), "texts")
+    # half a host's pages hold each of these paths, so that no more of them go into a row than two pages have
     classes = shape.where(F.col("pages") >= VALID * F.col("n")).groupBy("host", "vector").agg(F.collect_set("path").alias("paths"))
     tree = classes.groupBy("host").agg(F.collect_list("paths").alias("tree"))
-    by_host = mass.groupBy("host").agg(F.collect_list(F.struct("path", "outside", "n_chars")).alias("mass"), F.flatten(F.collect_list("keys")).alias("keys"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depth = lambda p: p.count("/")
         for batch in batches:
-            mains = []
-            for tree, mass in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            hosts, paths = [], []
+            for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 valid: set[str] = set()
-                depth = lambda p: p.count("/")
-                for paths in sorted(map(sorted, tree or []), key=lambda c: (min(map(depth, c)), c)):  # parents first: nesting
-                    top = min(map(depth, paths))
-                    ups = {p.rsplit("/", 1)[0] for p in paths if depth(p) == top}
+                for own in sorted(map(sorted, tree or []), key=lambda c: (min(map(depth, c)), c)):  # parents first: nesting
+                    top = min(map(depth, own))
+                    ups = {p.rsplit("/", 1)[0] for p in own if depth(p) == top}
                     if all(not up or up in valid for up in ups):
-                        valid.update(paths)
-                held: dict[str, tuple[int, bool]] = {}
-                for m in mass or []:  # a text under no element of the template counts for the nearest that is
-                    p = m["path"]
-                    while p and p not in valid:
-                        p = p.rsplit("/", 1)[0]
-                    if p:
-                        n, out = held.get(p, (0, True))
-                        held[p] = (n + (0 if m["outside"] else m["n_chars"]), out and m["outside"])
-                mains.append(main_of(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.string()), batch.column(3)], ["host", "main", "keys"])
+                        valid.update(own)
+                hosts += [host] * len(valid)
+                paths += sorted(valid)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "up"])
+
+    valid = table(tree.mapInArrow(nest, "host string, up string"), "valid")
+    # a text under no element of the template counts for the nearest that is
+    mass = text.groupBy("host", "path", "outside").agg(F.sum(F.when(F.col("whole") | F.col("outside"), 0).otherwise(F.col("n_chars"))).alias("n_chars"))
+    steps = F.split("path", "/")
+    above = mass.withColumn("up", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(steps))), lambda i: F.array_join(F.slice(steps, 1, i), "/"))))
+    near = above.join(valid, ["host", "up"]).groupBy("host", "path", "outside").agg(F.max_by("up", F.length("up")).alias("up"), F.first("n_chars").alias("n_chars"))
+    held = near.groupBy("host", "up").agg(F.sum("n_chars").alias("n_chars"), F.every("outside").alias("outside"))
+    by_host = held.groupBy("host").agg(F.collect_list(F.struct("up", "n_chars", "outside")).alias("mass"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mains = [main_of({m["up"]: (m["n_chars"], m["outside"]) for m in mass}) for mass in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.string())], ["host", "main"])
 
-    return table(tree.join(by_host, "host").select("host", "tree", "mass", "keys").mapInArrow(run, "host string, main string, keys array<bigint>"), "templates")
+    mains = table(by_host.mapInArrow(choose, "host string, main string"), "mains")
+    # within article and main all text counts, so only other hosts need the fixed texts, and of these those in the main element
+    plain = mains.where(~F.col("main").rlike(_SEMANTIC) & (F.col("main") != ""))
+    inside = (F.col("path") == F.col("main")) | F.startswith("path", F.concat("main", F.lit("/")))
+    keys = text.where("whole and not outside").join(plain, "host").where(inside).groupBy("host").agg(F.collect_set("token").alias("keys"))
+    return table(mains.join(keys, "host", "left").select("host", "main", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys")), "templates")
 
 
 def extract_page(page: str, main: str | None, fixed: frozenset[int] | set[int]) -> str:
@@ -288,7 +330,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", tex
     Columns: ``id_col``, ``url_col``, text, n_chars.  Blocks come in page order, one a
     line, character references decoded.  Fixed texts of a template are left out
     except within an article or main element, whose text is the page's own even if
-    other pages copy it, and of a page whose main element holds nothing else.  Defined cases: a null or empty page has an empty text; a
+    other pages copy it, and of a page whose main element holds nothing else.  Of several
+    article elements of unlike paths the one with the most text is the article.  Defined cases: a null or empty page has an empty text; a
     null url is of the host without a name; rows with a null or repeated id give a row
     each; an empty table gives none; further columns are not read.
     """

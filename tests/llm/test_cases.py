@@ -272,6 +272,86 @@ def test_html_keeps_copied_articles(spark):
     assert all(got[40 + i] == f"Read more\n{story(40)}" for i in range(6))
 
 
+def test_html_regions_are_named_by_whole_words():
+    """Attributes are read one by one, region words count with words of place only, and nothing unclosed swallows the page."""
+    cases = {
+        '<div style="overflow:hidden"><p>Body</div>': "Body",
+        '<div data-id="nav" data-state="hidden-print"><p>Body</div>': "Body",
+        "<p>one<svg width=1 /><p>two": "one\ntwo",
+        "<p>one<svg width=1><path d=1><p>two": "one\ntwo",
+        "<p>one<script>var a<p>two</p>": "one\ntwo",
+        "<p>one<script src=x /><p>two</p><script>b</script>": "one\ntwo",
+        '<section class="social-science"><p>Body</section><p class="article-notice-free">too': "Body\ntoo",
+        '<div class="main-nav left"><p>gone</div><div class="sidebar_2 box"><p>gone</div><p>Body': "Body",
+        '<article>Text<article class="comment">gone</article></article>': "Text",
+        '<article>Text<div id="comment-list"><p>gone</div></article>': "Text",
+        '<article class="post sidebar-left">Text</article>': "Text",
+        "<noscript><p>gone</noscript><select><option>gone</select><p>Body": "Body",
+    }
+    for page, want in cases.items():
+        assert html_text.extract_page(f"<html><body>{page}</body></html>", None, set()) == want, page
+
+
+def plain_templates(pages):
+    """main and fixed (path, text) pairs of one host's pages, in plain dictionaries."""
+    pages = sorted(set(pages))
+    vectors, outside, mass = {}, {}, {}
+    for i, page in enumerate(pages):
+        for path, out, text, kind in html_text.blocks(page):
+            own = vectors.setdefault((kind, path, text), [0] * len(pages))
+            own[i] += 1
+            outside[path] = out
+    held = lambda v: sum(n > 0 for n in v)
+    shapes = {tuple(v) for (kind, _, _), v in vectors.items() if kind == "open" and held(v) >= 4}
+    fixed = {(path, text) for (kind, path, text), v in vectors.items() if kind == "text" and tuple(v) in shapes}
+    classes = {}
+    for (kind, path, _), v in vectors.items():
+        if kind == "open" and held(v) >= len(pages) / 2:
+            classes.setdefault(tuple(v), set()).add(path)
+    valid = set()
+    for own in sorted(map(sorted, classes.values()), key=lambda c: (min(p.count("/") for p in c), c)):
+        top = min(p.count("/") for p in own)
+        if all(p.rpartition("/")[0] in {"", *valid} for p in own if p.count("/") == top):
+            valid |= set(own)
+    for (kind, path, text), v in vectors.items():
+        near = max((p for p in valid if path == p or path.startswith(p + "/")), key=len, default=None)
+        if kind == "text" and near:
+            n, out = mass.get(near, (0, True))
+            more = 0 if (path, text) in fixed or outside[path] else len(text) * sum(v)
+            mass[near] = (n + more, out and outside[path])
+    return html_text.main_of(mass), fixed
+
+
+def test_html_against_brute_force(spark):
+    """Generated hosts of several page types, most without an article element; templates change what is found."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    rows = []
+    for h in range(8):
+        fixed = [words(rng.randint(2, 9)) for _ in range(8)]
+        kinds = [(f"k{h}a", rng.sample(fixed, 3)), (f"k{h}b", rng.sample(fixed, 2))]
+        for i in range(rng.randint(3, 16)):
+            kind, lines = rng.choice(kinds[: 1 + h % 2])
+            body = [f"<p>{words(rng.randint(20, 40))}</p>" for _ in range(rng.randint(1, 4))]
+            body += [f"<div class='s{j}'>{x}</div>" for j, x in enumerate(lines)]
+            rng.shuffle(body)
+            tag = "article" if h == 5 else "div"
+            page = f"<html><body><div class='top'>{fixed[0]}</div><{tag} class='{kind}'>{''.join(body)}</{tag}><div class='x'>{fixed[1]}<p>{words(2)}</p></div></body></html>"
+            rows += [(len(rows) + j, f"http://h{h}.org/{i}", page) for j in range(rng.choice((1, 1, 3)))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    changed = 0
+    by_host = {}
+    for _, url, page in rows:
+        by_host.setdefault(url.split("/")[2], []).append(page)
+    plain = {h: plain_templates(p) if len(set(p)) >= 4 else (None, set()) for h, p in by_host.items()}
+    for i, url, page in rows:
+        main, fixed = plain[url.split("/")[2]]
+        want = html_text.extract_page(page, main, {html_text._key(*k) for k in fixed})
+        assert got[i] == want
+        changed += want != html_text.extract_page(page, None, set())
+    assert changed > len(rows) / 4
+
+
 def test_malformed_html():
     for text in ["<", "<<p>a", "<p", "a<!-- b", "<script>x", "</", "<a href='x>y", "&#xZZ; &amp", "<p>a<p>b</div></p>"]:
         list(html_text.blocks(text))
