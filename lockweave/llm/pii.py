@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.llm.common import need, renamed, table, tidy
+from lockweave.llm.common import bounded, need, renamed, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern counts if it has so many distinct known values and at least this confidence.
@@ -192,7 +192,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: b
 
     Columns: ``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, base_spans and
     spans (all spans, kind:start:end by start and kind; code points, end exclusive).
-    A discovered span that overlaps a base span isn't added.  With ``keyed`` also
+    A discovered span that overlaps a base span isn't added.  Discovery looks at runs of
+    signs in four shapes (``_LIKE``): addresses written out in parts of up to 64 signs,
+    groups of hexadecimal digits, and 12 to 20 or grouped digits; other identifiers
+    aren't candidates.  A pattern is one or two neighbouring words of up to 24 signs.  With ``keyed`` also
     text_hash, the built-in xxhash64 of the text.  Defined cases: a null
     or empty text has no spans; rows with a null or repeated id each give a row; an
     empty table gives none; further columns are not read.
@@ -214,6 +217,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: b
     return both.select(F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], "base_sha256", "base_spans", F.array_join(every, ",").alias("spans"), *key)
 
 
+def replaced(text: str, spans: str) -> str:
+    """``text`` with the spans' kinds in their place, in one pass from left to right."""
+    out, done = [], 0
+    for span in spans.split(","):
+        kind, start, end = span.split(":")
+        if int(start) >= done:
+            out += [text[done : int(start)], f"<{kind}>"]
+            done = int(end)
+    return "".join([*out, text[done:]])
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every span of its texts replaced by its kind in angle brackets; all its columns stay.
 
@@ -221,7 +235,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Of overlapping spans the first is replaced, and the next one that starts after it.
     Texts without a span keep their value, null included.
     """
-    columns, (df, new) = df.columns, renamed(df)
+    import pyarrow as pa
+
+    columns, (df, new) = df.columns, renamed(bounded(df))
     id_col, text_col = new[id_col], new[text_col]
     here = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     marked = df.withColumn("_text_key", here)
@@ -232,10 +248,17 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weight = spans.agg(F.coalesce(F.sum(F.length("_spans") + 64), F.lit(0)).alias("b")).first()["b"]
     side = F.broadcast(spans) if weight <= BROADCAST else spans
     both = marked.join(side, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_hash")), "left")
-    # from left to right: what is written so far, and up to where the text is done with
-    parts = F.transform(F.split("_spans", ","), lambda x: F.split(x, ":"))
-    old = lambda a, upto: F.substring(F.col(text_col), a["done"] + 1, upto - a["done"])
-    step = lambda a, p: F.when(p[1].cast("int") >= a["done"], F.struct(F.concat(a["out"], old(a, p[1].cast("int")), F.lit("<"), p[0], F.lit(">")).alias("out"), p[2].cast("int").alias("done"))).otherwise(a)
-    whole = F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("done")), step, lambda a: F.concat(a["out"], old(a, F.length(text_col))))
-    text = F.when(F.col("_spans").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(whole)
-    return both.withColumn(text_col, text).select(*[F.col(new[c]).alias(c) for c in columns])
+    at_text = list(new.values()).index(text_col)
+    kept = [F.col(new[c]) for c in columns]
+    schema = both.select(*kept).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, lists = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            if lists.null_count < len(lists):
+                texts = columns[at_text]
+                columns[at_text] = pa.array([t.as_py() if not s.is_valid or not t.is_valid else replaced(t.as_py(), s.as_py()) for t, s in zip(texts, lists, strict=True)], texts.type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+        tidy()
+
+    return both.select(*kept, "_spans").mapInArrow(run, schema).select(*[F.col(new[c]).alias(c) for c in columns])

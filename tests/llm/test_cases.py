@@ -381,6 +381,61 @@ def test_pii_discovers_by_long_chains(spark):
     assert {r["value"] for r in found} == {f"v{i}_{j}" for i in range(1, 9) for j in range(5)}
 
 
+def test_pii_discovers_planted_identifiers_of_each_kind(spark):
+    """Identifiers without a fixed shape are found where known ones stand too, and nowhere else."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    def luhn(ok):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if pii._luhn(d) == ok:
+                return d
+    known = {"email": lambda: f"{word()}@{word()}.org", "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": lambda: luhn(True), "phone": lambda: f"+1 (264) 555-{rng.randint(1000, 9999)}"}
+    other = {"email": lambda: f"{word()} [at] {word()} [dot] org", "ip": lambda: ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8)), "card": lambda: luhn(False), "phone": lambda: f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"}
+    lead = {"email": "write to", "ip": "logged from", "card": "paid with", "phone": "mobile no:"}
+    rows, planted = [], set()
+    for kind in pii.KINDS:
+        for i in range(60):
+            rows.append(f"{word()} {lead[kind]} {known[kind]()} {word()}")
+        for i in range(12):
+            rows += [f"{word()} {lead[kind]} {(x := other[kind]())} {word()}", f"{word()} {word()} {other[kind]()} {word()}"]
+            at = len(word()) + 2 + len(lead[kind])
+            planted.add((len(rows) - 2, f"{kind}:{at}:{at + len(x)}"))
+    got = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {(r["doc_id"], s) for r in got for s in set(filter(None, r["spans"].split(","))) - set(filter(None, r["base_spans"].split(",")))}
+    assert found == planted
+
+
+def test_pii_scores_against_brute_force(spark):
+    """Random graphs: rounds over plain dictionaries give the same values."""
+    rng = random.Random(6)
+    for _ in range(3):
+        values = {f"v{i}": rng.random() < 0.85 for i in range(120)}
+        graph = {(f"p{rng.randint(0, 30)}", v) for v in values for _ in range(rng.randint(1, 3))}
+        base = {v for v, b in values.items() if b}
+        sure, before = dict.fromkeys(base, 1.0), None
+        while before != sure:
+            before, by = sure, {}
+            for p, v in graph:
+                by.setdefault(p, []).append(sure.get(v, 0.0))
+            good = {p: sum(s) / len(s) for p, s in by.items() if sum(x >= 0.8 for x in s) >= 5 and sum(s) / len(s) >= 0.8}
+            sure = dict.fromkeys(base, 1.0)
+            for v in set(values) - base:
+                doubt = [max(1e-9, 1 - good[p]) for p, w in sorted(graph) if w == v and p in good]
+                if doubt:
+                    sure[v] = round(1 - float(np.prod(doubt)), 12)
+        rows = [("email", p, v, v in base) for p, v in graph]
+        got = {r["value"] for r in pii.discover(spark.createDataFrame(rows, "kind string, pattern string, value string, base boolean")).collect()}
+        assert got == set(sure) - base and got
+
+
+def test_pii_replaces_many_spans():
+    text = "a@b.co " * 5000
+    spans = pii.written(pii.base_spans(text))
+    assert pii.replaced(text, spans) == "<email> " * 5000
+    assert pii.replaced("abcdef", "email:1:4,phone:2:3,card:4:5") == "a<email><card>f"
+
+
 def test_toxicity(docs, none, labels, spark):
     flat = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(flat) == 7 and all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in flat)
