@@ -6,15 +6,16 @@ characters at most), normalised and raised to ``POWER``; so a word
 with letters put in stays close to it, and a stem to its inflections.  A word with
 signs inside is also taken without them, whichever is closer.  The kernel of two sentences is the sum
 over their word pairs.  Its feature space is approximated by Nyström landmarks:
-words chosen for the subsequences that set toxic training documents apart, and
-frequent words of clean ones.  A linear support vector machine (squared hinge,
+words and word stems chosen for the subsequences and beginnings that set toxic
+training documents apart, and frequent words of clean ones.  A linear support vector machine (squared hinge,
 Newton steps) is trained on labelled sentences: all sampled sentences of clean
 documents, and of each toxic document the sentence that the last model found worst.
 
 Because the machine is linear over a sum, a sentence's margin is a sum of one number
 a word, and a worker computes it once for each distinct word it meets.  A document's
-margin is its worst sentence's, mapped to 0..1 by a logistic curve fitted on the
-training documents.
+score is a logistic curve, fitted on the training documents, over its worst sentence's
+margin and the ``WORST`` greatest numbers of its words: insults may be spread over
+sentences, and a single word that resembles one doesn't make a document toxic.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ SENTENCE = 32
 MOST = 2500
 #: Sentences of clean documents that the machine is trained on, beside each one's worst.
 CLEAN = 8000
-#: Landmarks from toxic and from clean documents.
-BAD, PLAIN = 96, 32
+#: Landmarks from toxic documents (stems among them at most) and from clean documents.
+BAD, STEMS, PLAIN = 128, 48, 32
+#: Lengths of the stems.
+STEM = range(4, 9)
 #: Standard deviations that a subsequence's excess in toxic documents must pass to count for landmarks.
 PROOF = 4.0
 #: Logarithm of the slots that strings are counted in while landmarks are chosen.
@@ -51,6 +54,8 @@ SLOTS = 21
 ALIKE = 0.4
 #: Kernels up to this are taken as none in training and scoring alike.
 FAINT = 0.02
+#: Words of a document whose numbers count by themselves; numbers up to ``LITTLE`` count as none.
+WORST, LITTLE = 5, 0.02
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
 MEMORY = 200_000
 
@@ -160,6 +165,19 @@ def starts_of(ends, docs):
     return np.flatnonzero(new | ((np.arange(n) - begin) % SENTENCE == 0))
 
 
+def greatest(values, docs, n: int):
+    """The ``WORST`` greatest values of each of n documents, from the greatest on, 0 where there are fewer."""
+    import numpy as np
+
+    out, some = np.zeros((n, WORST)), np.flatnonzero(values > LITTLE)
+    order = some[np.lexsort((-values[some], docs[some]))]
+    of = docs[order]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    few = rank < WORST
+    out[of[few], rank[few]] = values[order[few]]
+    return out
+
+
 def sum_by_core(counts: dict[str, int]) -> Counter:
     """The counts of words without the signs around them."""
     out: Counter = Counter()
@@ -184,12 +202,12 @@ def ends_sentence(word: str) -> bool:
 
 @dataclass
 class Model:
-    """What training leaves: landmark words, a weight for each, a bias, and the logistic curve."""
+    """What training leaves: landmark words, a weight for each, a bias, and the logistic curve's slopes and shift."""
 
     words: list[str]
     beta: list[float]
     bias: float
-    slope: float
+    slopes: list[float]
     shift: float
 
     def scorer(self):
@@ -217,13 +235,14 @@ class Model:
                     near = marks.kernel(fresh) if marks else np.zeros((len(fresh), 0), np.float32)
                     known.update(zip(fresh, (np.where(near > FAINT, near, 0) @ beta).tolist(), strict=True))
                 value, stops = np.concatenate((value, [known[c] for c in cores])), np.concatenate((stops, [ends_sentence(w) for w in news]))
-            most = np.full(len(texts), self.bias)
+            most, worst = np.full(len(texts), self.bias), np.zeros((len(texts), WORST))
             if any(lists):
                 at = np.array([place[w] for ws in lists for w in ws], np.int64)
                 docs = np.repeat(np.arange(len(texts)), [len(ws) for ws in lists])
                 begin = starts_of(stops[at], docs)
                 np.maximum.at(most, docs[begin], np.add.reduceat(value[at], begin) + self.bias)
-            return (1 / (1 + np.exp(-np.clip(self.slope * most + self.shift, -50, 50)))).tolist()
+                worst = greatest(value[at], docs, len(texts))
+            return (1 / (1 + np.exp(-np.clip(np.column_stack((most, worst)) @ self.slopes + self.shift, -50, 50)))).tolist()
 
         return score
 
@@ -288,13 +307,47 @@ def _evidence(both: list[str], tox: Counter, plain: Counter, n_tox: int, n_plain
     return out
 
 
+def _stems(tox: Counter, plain: Counter, n_tox: int, n_plain: int) -> list[str]:
+    """Beginnings of words that toxic documents have too often, the most surprising first; counted in hash slots."""
+    import heapq
+    import zlib
+
+    import numpy as np
+
+    slot = lambda s: zlib.crc32(s.encode()) & ((1 << SLOTS) - 1)
+    hits, misses = np.zeros(1 << SLOTS, np.float32), np.zeros(1 << SLOTS, np.float32)
+    for counts, into in ((tox, hits), (plain, misses)):
+        for w, n in counts.items():
+            for k in STEM:
+                if len(w) > k:
+                    into[slot(w[:k])] += n
+    used = np.flatnonzero(hits)
+    proof = np.zeros(1 << SLOTS, np.float32)
+    proof[used] = surprise(hits[used].astype(float), misses[used].astype(float), n_tox, n_plain)
+    found = {w[:k]: float(proof[slot(w[:k])]) for w in tox for k in STEM if len(w) > k and proof[slot(w[:k])] > 0}
+    return heapq.nlargest(16 * STEMS, found, key=lambda s: (found[s], s))
+
+
+def _apart(order: list[str], most: int, taken: list[str]) -> list[str]:
+    """``taken`` and up to ``most`` of ``order``, in order, none close to one before it."""
+    import numpy as np
+
+    near = Landmarks(order).kernel([*taken, *order], step=32)
+    blocked, out = near[: len(taken)].max(0, initial=0) > ALIKE, []
+    for i, w in enumerate(order):
+        if not blocked[i] and len(out) < most:
+            out.append(w)
+            blocked |= near[len(taken) + i] > ALIKE
+    return [*taken, *out]
+
+
 def train(bags: Bags, seed: int = 7) -> Model:
     """Fit on the documents' sentences.  With one label only, the model is that label for every text."""
     import numpy as np
 
     y = np.array(bags.toxic, bool)
     if not y.any() or y.all():
-        return Model([], [], 0.0, 0.0, 50.0 if len(y) and y.all() else -50.0)
+        return Model([], [], 0.0, [0.0] * (1 + WORST), 50.0 if len(y) and y.all() else -50.0)
     rng = np.random.default_rng(seed)
     place, lists, names = bags.place, bags.docs, list(bags.place)
     tox, plain = (np.bincount(np.concatenate([np.unique(d) for d, bad in zip(lists, y, strict=True) if bad == want]), minlength=len(names)) for want in (True, False))
@@ -304,14 +357,11 @@ def train(bags: Bags, seed: int = 7) -> Model:
     rank = _evidence(both, tox, plain, y.sum(), (~y).sum())[: len(vocab)]
     rank = rank + surprise(np.array([tox[w] for w in vocab], float), np.array([plain[w] for w in vocab], float), y.sum(), (~y).sum())
     del both
-    chosen: list[str] = []
+    stems = _stems(tox, plain, y.sum(), (~y).sum())
+    chosen = _apart(stems, STEMS, []) if stems else []
     order = [vocab[i] for i in np.argsort(-rank, kind="stable")[: 16 * BAD] if rank[i] > 0]
-    near = Landmarks(order).kernel(order, step=32)
-    blocked = np.zeros(len(order), bool)
-    for i, w in enumerate(order):
-        if not blocked[i] and len(chosen) < BAD:
-            chosen.append(w)
-            blocked |= near[i] > ALIKE
+    if order:
+        chosen = _apart(order, BAD - len(chosen), chosen)
     usual = [w for w, _ in plain.most_common(PLAIN)]
     del tox, plain, vocab, rank
     words = list(dict.fromkeys([*chosen, *usual]))
@@ -364,24 +414,26 @@ def train(bags: Bags, seed: int = 7) -> Model:
         margin = np.add.reduceat(of_words(beta)[at], begin)
     top = np.full(len(lists), bias)
     np.maximum.at(top, doc_of, margin + bias)
-    slope, shift = _logistic(top, y)
-    return Model(words, beta.tolist(), bias, slope, shift)
+    slopes, shift = _logistic(np.column_stack((top, greatest(of_words(beta)[at], np.repeat(np.arange(len(lists)), [len(ws) for ws in lists]), len(lists)))), y)
+    return Model(words, beta.tolist(), bias, slopes, shift)
 
 
 def _logistic(x, y, rounds: int = 100):
-    """Slope and shift by Newton steps, with the usual smoothed targets against overconfidence."""
+    """Slopes and shift by Newton steps, with the usual smoothed targets against overconfidence and a slight pull to 0."""
     import numpy as np
 
     pos, neg = y.sum(), (~y).sum()
     target = np.where(y, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, z = np.array([1.0, 0.0]), np.stack((x, np.ones(len(x))), 1)
+    z = np.column_stack((x, np.ones(len(x))))
+    a, pull = np.zeros(z.shape[1]), np.diag([1.0] * x.shape[1] + [1e-6])
+    a[0] = 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (target - p))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + pull, z.T @ (target - p) - pull @ a)
         a = a + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(a[0]), float(a[1])
+    return a[:-1].tolist(), float(a[-1])
 
 
 def held_out(id_col: Column) -> Column:
@@ -391,6 +443,7 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> Model:
     """Fit on the labelled documents that aren't held out: all, or of each label ``most`` in expectation, by a hash of the id."""
+    # of labels of one id that disagree the greatest counts
     known = need(labels, id_col, "toxic").where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}

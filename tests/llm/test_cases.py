@@ -436,6 +436,33 @@ def test_pii_replaces_many_spans():
     assert pii.replaced("abcdef", "email:1:4,phone:2:3,card:4:5") == "a<email><card>f"
 
 
+def test_string_kernel_against_brute_force():
+    """Common gapped subsequences of three characters, counted one by one."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 14))) for _ in range(40)]
+
+    def parts(w):
+        w = "\2" + w
+        return [(w[i] + w[j] + w[k], toxicity.GAP ** (k - i - 2)) for i in range(len(w)) for j in range(i + 1, len(w)) for k in range(j + 1, min(len(w), i + 5))]
+
+    def kernel(a, b):
+        x, y = parts(a), parts(b)
+        size = lambda z: (sum(w * w for _, w in z) + 1e-9) ** 0.5
+        return min(1, sum(v * w for s, v in x for t, w in y if s == t) / (size(x) * size(y))) ** toxicity.POWER
+
+    got = toxicity.Landmarks(words[:15]).kernel(words)
+    assert np.allclose(got, [[kernel(a, b) for b in words[:15]] for a in words], atol=1e-4)
+
+
+def test_greatest_values_of_each_document():
+    rng = np.random.default_rng(3)
+    docs, values = np.sort(rng.integers(0, 30, 300)), rng.normal(size=300)
+    got = toxicity.greatest(values, docs, 31)
+    for d in range(31):
+        want = sorted((v for v in values[docs == d] if v > toxicity.LITTLE), reverse=True)[: toxicity.WORST]
+        assert got[d].tolist() == [*want, *[0.0] * (toxicity.WORST - len(want))]
+
+
 def test_toxicity(docs, none, labels, spark):
     flat = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(flat) == 7 and all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in flat)
