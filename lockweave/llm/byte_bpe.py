@@ -29,7 +29,7 @@ from lockweave.llm.common import need, tidy
 
 #: Characters after a match's first one that the pattern can read: an apostrophe and two letters.
 LOOK = 3
-#: Texts of up to so many characters are leaves of the tree.
+#: Texts of up to so many characters, or ids, are leaves of the tree.
 LEAF = 8192
 #: One match of up to so many bytes is encoded at once.
 LONG = 512
@@ -126,10 +126,13 @@ class Bpe:
         return b"".join([get(m) or new(m) for m in self.matches(text)])
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids, one after the other."""
+        """The bytes of the ids: halves are decoded and joined, up the tree."""
         import numpy as np
 
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        if len(ids) <= 4 * LEAF:
+            return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        half = len(ids) // 8 * 4
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(maxsize=2)

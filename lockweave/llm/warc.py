@@ -46,20 +46,21 @@ def roles(pages: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> D
 
 
 def _uri(page: str | None) -> str:
-    return f"<urn:lockweave:page:{quote(page or '', safe='')}>"
+    return "<urn:lockweave:page>" if page is None else f"<urn:lockweave:page:{quote(page, safe='')}>"
 
 
 def _page(uri: str) -> str | None:
-    return unquote(uri.strip("<>").rpartition(":")[2]) or None
+    parts = uri.strip("<>").split(":")
+    return unquote(parts[3]) if len(parts) > 3 else None
 
 
-def _record(page: str | None, url: str, body: bytes, digest: str, length: int, refers: str | None) -> Iterator[bytes]:
-    """The record in parts: its head, the payload a chunk at a time, its end."""
+def _record(page: str | None, url: str, body: memoryview, digest: str, length: int, refers: str | None) -> Iterator[bytes | memoryview]:
+    """The record in parts: its head, the payload a chunk at a time, its end; the payload is never copied."""
     sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {_uri(page)}", f"WARC-Target-URI: {' '.join(url.split())}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: {sha}", f"{_LENGTH}: {length}"]
     if refers is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers)}"]
-        body = b""
+        body = body[:0]
     head += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
     yield "\r\n".join(head).encode() + b"\r\n\r\n"
     for at in range(0, len(body), CHUNK):
@@ -90,12 +91,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         try:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = [c[i].as_py() for c in batch.columns]
+                    row = [c[i].as_buffer() if at == 2 else c[i].as_py() for at, c in enumerate(batch.columns)]
                     if out is None:
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(draft, compression=None)
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    for part in _record(row[0], row[1], row[2].encode(), row[3], row[4], row[5]):
+                    for part in _record(row[0], row[1], memoryview(row[2]), row[3], row[4], row[5]):
                         out.write(member.compress(part))
                     out.write(member.flush())
                     n += 1
@@ -225,7 +226,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write all pages, read the archives back, and tell of each page what its record says.
 
     Columns: ``id_col``, payload_bytes, payload_digest, record_type, refers_to.  The
-    length and digest of a response are those of the bytes read.  Defined cases: a
+    length and digest of a response are those of the bytes read; each revisit's are
+    compared with those of the response that it names.  Defined cases: a
     null text is an empty payload, a null url an empty one; rows that repeat an id and
     its payload are written each, as what the id is; a null id refers and is referred
     to as such and is never the one kept; an empty table gives no row; further columns
@@ -234,7 +236,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     kind = pages.schema[id_col].dataType.simpleString()
-    read = chunks(spark, folder, write(pages, folder, id_col, url_col, text_col, least)).where("last")
+    read = table(chunks(spark, folder, write(pages, folder, id_col, url_col, text_col, least)).where("last").drop("chunk", "n_bytes", "last"), "records")
+    known = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("digest").alias("said"), F.col("upto").alias("length")).distinct()
+    named = read.where("record_type = 'revisit'").select("refers_to", "said", "length").distinct()
+    lost = named.join(known, [named[c].eqNullSafe(known[c]) for c in known.columns], "left_anti").limit(3).collect()
+    if lost:
+        raise ValueError(f"revisits whose response isn't in the archives, or has another length or digest: {lost}")
     whole = F.col("record_type") == "response"
     sure = F.when(~whole | (F.col("digest") == F.col("said")), F.col("said")).otherwise(F.raise_error(F.concat(F.lit("payload and digest differ in record "), F.col("record_id"))))
     return read.select(

@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 
 from lockweave.llm import byte_bpe, embedding_graph, html_text, line_dedup, packing, pii, quality, simhash, toxicity, warc
+from lockweave.llm.common import table
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = "word and another one\n" * 6000 + "x" * 50_000 + " end"
@@ -234,6 +235,35 @@ def test_warc_chunks_carry_digests(pages, spark):
         assert so_far == body[key] and own[-1]["last"] and own[-1]["said"] == own[-1]["digest"]
 
 
+def test_warc_ids_and_payloads_over_many_chunks(spark):
+    """An empty id isn't a null one; payloads over several chunks come back whole; a revisit must match its response."""
+    big = "é<p>" * 60_000
+    rows = [("", "u", big), (None, "u", big), ("a:b", "u", big), ("z", "u", big + "x"), ("c", "u", "")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    n, d = len(big.encode()), hashlib.sha1(big.encode()).hexdigest()
+    assert set(got) == {"", None, "a:b", "z", "c"}
+    assert all((got[k]["payload_bytes"], got[k]["payload_digest"], got[k]["record_type"], got[k]["refers_to"]) == (n, d, "revisit", "a:b") for k in ("", None))
+    assert (got["a:b"]["record_type"], got["a:b"]["payload_digest"], got["z"]["payload_bytes"], got["c"]["payload_bytes"]) == ("response", d, n + 1, 0)
+
+
+def test_warc_checks_revisits(pages, monkeypatch):
+    right = warc._record
+
+    def wrong(page, url, body, digest, length, refers):
+        return right(page, url, body, digest, length + (refers is not None), refers)
+
+    monkeypatch.setattr(warc, "_record", wrong)
+    with pytest.raises(ValueError, match="revisits"):
+        warc.round_trip(pages).collect()
+
+
+def test_html_long_page(spark):
+    body = "\n".join(f"<p>para {i} of it</p>" for i in range(40_000))
+    got = html_text.extract(spark.createDataFrame([(1, "http://x.org/a", f"<body><article>{body}</article></body>")], "page_id long, url string, html string")).first()
+    assert got["text"] == "\n".join(f"para {i} of it" for i in range(40_000)) and got["n_chars"] == len(got["text"])
+
+
 def test_html(pages):
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
     assert html_text.extract(pages.where("page_id < 0")).collect() == []
@@ -520,6 +550,48 @@ def test_quality_bound_holds(spark):
         assert r["c"] == pytest.approx(sum(comb(r["n"], i) * p**i * (1 - p) ** (r["n"] - i) for i in range(r["k"] + 1)), rel=1e-9)
 
 
+def test_quality_cutoffs_against_brute_force(spark):
+    """Planted rates: the admitted cutoffs, per stratum and rule, are those of the exact tests walked one by one."""
+    from math import comb
+
+    rng = random.Random(9)
+    rows, marks = [], []
+    for i in range(3000):
+        lang = ("aa", "bb", None)[0 if i < 1500 else 1 if i < 2900 else 2]
+        good = rng.random() < 0.8
+        bad = rng.random() < (0.001 if good else 0.7)
+        words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 99999)}" for _ in range(40)] + (["#!!"] * rng.randint(1, 60) if bad and lang == "aa" else [])
+        rows.append((i, " ".join(words), lang))
+        marks.append((i, int(good) if i % 7 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    counted = table(quality.counts(df), "counts")
+    known = [r.asDict() for r in counted.collect()]
+    good = {i for i, q in marks if q == 1}
+    held = [r for r in known if r["doc_id"] in good and r["n_words"] >= 10 and 100 * r["n_repeat_words"] <= 20 * r["n_words"]]
+    strata = {r["lang"] or "" for r in held}
+    p, want = quality.RISK / len(quality.RULES), set()
+    for s in strata:
+        own = [r for r in held if (r["lang"] or "") == s]
+        for rule, (a, b, cuts) in quality.RULES.items():
+            last = None
+            for c in cuts:  # from mild to harsh
+                k = sum(r[a] * 1000 > r[b] * c for r in own)
+                if sum(comb(len(own), i) * p**i * (1 - p) ** (len(own) - i) for i in range(k + 1)) > quality.DOUBT / (len(strata) * len(quality.RULES)):
+                    break
+                last = c
+            if last is not None:
+                want.add((s, rule, last))
+    got = {tuple(r) for r in quality.cutoffs(counted, labels).collect()}
+    assert got == want and {s for s, _, _ in want} == {"aa", "bb"}
+    out = {r["doc_id"]: r for r in quality.judge(df, labels).collect()}
+    harsh = {(s, rule): c for s, rule, c in want}
+    for r in known:
+        hit = any(r[a] * 1000 > r[b] * harsh[r["lang"] or "", rule] for rule, (a, b, _) in quality.RULES.items() if (r["lang"] or "", rule) in harsh)
+        assert out[r["doc_id"]]["kept"] == (not out[r["doc_id"]]["base_failed"] and not hit)
+    assert sum(not r["kept"] for r in out.values()) > 50
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 8))
@@ -650,3 +722,27 @@ def test_pipeline(spark, tmp_path):
     total = {r["doc_id"]: r["doc_tokens"] for r in seen["packing"].collect()}
     assert total == {i: len(tokens(r["text"])) for i, r in clean.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Every stage on an empty table, and on nulls in any column, repeated rows, long texts and clashing names."""
+    import corpus_pipeline
+
+    wide = f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{c}` string' for c in CLASH)}"
+    rest = [None] * len(CLASH)
+    rows = [(None, None, None, None, None, *rest), (None, "no id, a@b.co and more words of it", "en", "s", 3, *rest), (1, LONG, "en", "s", 1, *rest), (2, "", "en", None, 0, *rest), (3, "Two of these.", "en", "s", 13, *rest), (3, "Two of these.", "en", "s", 13, *rest)]
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = spark.createDataFrame(rows, wide)
+    for docs in (whole, whole.limit(0)):
+        columns, some = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, str(tmp_path))
+            docs.write.mode("overwrite").parquet(f"{tmp_path}/{name}-{some}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{some}")
+            assert name == "packing" or docs.columns == columns
+            assert some or docs.count() == 0
+            if some and name in ("line_dedup", "pii"):
+                assert docs.count() == before.count()
+            if some and name == "pii":
+                assert {r["text"] for r in docs.where("doc_id is null").collect()} <= {None, "no id, <email> and more words of it"}
+        assert not some or docs.select("doc_id").distinct().count() >= 3
