@@ -30,7 +30,7 @@ from lockweave.llm.common import need, tidy
 #: Ids that a task's open windows hold at most.
 HELD = 1 << 24
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
-MEMORY = 150_000
+MEMORY = 100_000
 #: Characters below this one are split here.
 BELOW = 0x180
 

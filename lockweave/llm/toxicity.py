@@ -57,7 +57,7 @@ FAINT = 0.02
 #: Words of a document whose numbers count by themselves; numbers up to ``LITTLE`` count as none.
 WORST, LITTLE = 5, 0.02
 #: Words remembered by a worker; when full the memory is emptied, which costs time only.
-MEMORY = 200_000
+MEMORY = 120_000
 
 _EDGE = re.compile(r"^\W+|\W+$")
 _SIGNS = re.compile(r"[\W_]+")
@@ -128,7 +128,7 @@ class Landmarks:
 
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
-    def kernel(self, words: list[str], step: int = 1024):
+    def kernel(self, words: list[str], step: int = 256):
         """Kernel of each word with each landmark; a long word counts by its closest window."""
         import numpy as np
 
