@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lockweave.plans.loop import grow
 
@@ -33,11 +32,24 @@ def exact(sites: DataFrame, methods: DataFrame, type_col: str) -> DataFrame:
     return sites.join(own, [type_col, "namesig"]).select("site", "target")
 
 
-def candidates(sites: DataFrame, methods: DataFrame, below: DataFrame, instantiated: DataFrame) -> DataFrame:
-    """site, target: bodies of instantiated subtypes of the declared type, other than the declared body."""
+def bodies(pairs: DataFrame, methods: DataFrame, below: DataFrame, instantiated: DataFrame) -> DataFrame:
+    """declared, namesig, target: bodies of instantiated subtypes of the declared type, other than the declared body."""
     live = methods.join(instantiated.select("class").distinct(), "class", "left_semi").select("class", "namesig", F.col("mkey").alias("target"))
     subs = below.select(F.col("sup").alias("declared"), F.col("sub").alias("class")).where("declared <> class")
-    return sites.select("site", "declared", "namesig").join(subs, "declared").join(live, ["class", "namesig"]).select("site", "target").distinct()
+    return pairs.select("declared", "namesig").distinct().join(subs, "declared").join(live, ["class", "namesig"]).select("declared", "namesig", "target").distinct()
+
+
+def candidates(sites: DataFrame, methods: DataFrame, below: DataFrame, instantiated: DataFrame, most: int | None = None) -> DataFrame:
+    """site, target: the ``bodies`` of each site's declared type; with ``most``, of sites that have no more.
+
+    Sites that agree in declared type and name share their bodies, which are counted
+    and cut before any site is joined.
+    """
+    each = bodies(sites, methods, below, instantiated)
+    if most is not None:
+        few = each.groupBy("declared", "namesig").agg(F.count("*").alias("n")).where(F.col("n") <= most).drop("n")
+        each = each.join(few, ["declared", "namesig"])
+    return sites.select("site", "declared", "namesig").join(each, ["declared", "namesig"]).select("site", "target").distinct()
 
 
 def dispatch(sites: DataFrame, methods: DataFrame, below: DataFrame, instantiated: DataFrame, most: int = POLYMORPHIC) -> DataFrame:
@@ -49,8 +61,7 @@ def dispatch(sites: DataFrame, methods: DataFrame, below: DataFrame, instantiate
     """
     known = exact(sites.where("virtual and receiver is not null"), methods, "receiver").withColumn("how", F.lit("receiver"))
     rest = sites.join(known.select("site"), "site", "left_anti")
-    many = candidates(rest.where("virtual"), methods, below, instantiated)
-    few = many.withColumn("n", F.count("*").over(Window.partitionBy("site"))).where(F.col("n") <= most).select("site", "target", F.lit("candidate").alias("how"))
+    few = candidates(rest.where("virtual"), methods, below, instantiated, most).withColumn("how", F.lit("candidate"))
     own = exact(rest, methods, "declared").withColumn("how", F.lit("declared"))
     return known.union(few).union(own)
 

@@ -38,19 +38,22 @@ def must_entry(methods: DataFrame, calls: DataFrame, held: DataFrame, roots: Dat
     ``calls``: call, m, callee (synchronous); ``held``: call, held; ``roots``: m.
     Computed as its dual: a lock is missing at a method if some root reaches it over
     calls that don't hold the lock -- a least fixpoint, unlike the meet itself.
-    Methods that no root reaches have none.
+    Methods that no root reaches have none.  Rows are pairs of a method and a lock that
+    some call on a way into it holds, never all locks of a root.
     """
-    universe = held.agg(F.collect_set("held").alias("locks"))
     edge = settle(calls.select("call", "m", "callee"), "calls")
     have = settle(held.select("call", F.col("held").alias("lock")).distinct(), "held")
-    top = roots.select("m").distinct()
+    top = settle(roots.select("m").distinct(), "roots")
     reached = grow(top, lambda d: d.join(edge, "m").select(F.col("callee").alias("m")), name="reached")
-    pairs = settle(top.select("m", F.explode(universe.scalar()).alias("lock")), "missing")  # every root lacks every lock
-    missing = grow(pairs, lambda d: d.join(edge, "m").join(have, ["call", "lock"], "left_anti").select(F.col("callee").alias("m"), "lock"), name="missing")
-    # only names held on some way in can be held on all
-    some = reached.join(edge.join(have, "call").select(F.col("callee").alias("m"), "lock").distinct(), "m")
-    passed = grow(some.select("m", "lock"), lambda d: d.join(edge, "m").select(F.col("callee").alias("m"), "lock"), name="passed")
-    return passed.join(missing, ["m", "lock"], "left_anti").join(reached, "m", "left_semi")
+    # only what a call on some way in holds can be held on all; any other lock is missing without a row
+    some = edge.join(reached, "m", "left_semi").join(have, "call").select(F.col("callee").alias("m"), "lock")
+    passed = settle(grow(some, lambda d: d.join(edge, "m").select(F.col("callee").alias("m"), "lock"), name="passed"), "passed")
+    live = edge.join(reached, "m", "left_semi")
+    into = passed.withColumnRenamed("m", "callee").join(live, "callee").join(have, ["call", "lock"], "left_anti")
+    bare = into.join(passed, ["m", "lock"], "left_anti").select(F.col("callee").alias("m"), "lock")
+    lost = bare.union(passed.join(top, "m", "left_semi").select("m", "lock"))
+    missing = grow(lost, lambda d: d.join(edge, "m").join(have, ["call", "lock"], "left_anti").select(F.col("callee").alias("m"), "lock"), name="missing")
+    return passed.join(missing, ["m", "lock"], "left_anti")
 
 
 def reaching(calls: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lockweave.plans.loop import settle
+from lockweave.plans.loop import grow, settle
 
 
 def nodes(edges: DataFrame, locks: DataFrame | None = None) -> DataFrame:
@@ -38,13 +38,59 @@ def closure(edges: DataFrame) -> DataFrame:
         n = after
 
 
+def _settled(rows: DataFrame, step, name: str) -> DataFrame:
+    """``step`` over and over, until none of the rows that it gives has ``moved``."""
+    rows = settle(rows, name)
+    while True:
+        rows = settle(step(rows), name)
+        if rows.where("moved").isEmpty():
+            return rows.drop("moved")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """component, lock, rep, size: nodes on a cycle through another node, with the least name of theirs."""
-    paths = closure(edges)
-    back = paths.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["component", "src", "dst"]).where("src <> dst")
-    rep = mutual.groupBy("component", F.col("src").alias("lock")).agg(F.least(F.min("dst"), F.first("src")).alias("rep"))
-    return rep.withColumn("size", F.count("*").over(Window.partitionBy("component", "rep")))
+    """component, lock, rep, size: nodes on a cycle through another node, with the least name of theirs.
+
+    In each pass nodes without a way in or out are trimmed, the least name flows along
+    the edges, and every node whose own name came back to it gathers those of its label
+    that lead to it: a component.  What is left of each label goes into the next pass.
+    A round holds at most a row a node and a row an edge, however large a component is.
+    """
+    left = settle(edges.where("src <> dst").select("component", "src", "dst").distinct(), "left")
+    found: DataFrame | None = None
+    while True:
+        while True:  # trim
+            n = left.count()
+            out = left.select("component", F.col("src").alias("dst")).distinct()
+            into = left.select("component", F.col("dst").alias("src")).distinct()
+            kept = settle(left.join(out, ["component", "dst"], "left_semi").join(into, ["component", "src"], "left_semi").select("component", "src", "dst"), "left")
+            after, left = kept.count(), kept
+            if after in (0, n):
+                break
+        if not after:
+            break
+        ahead = left.select("component", F.col("src").alias("lock"), "dst")
+
+        def flow(rows: DataFrame) -> DataFrame:
+            came = rows.select("component", "lock", "label").join(ahead, ["component", "lock"]).groupBy("component", F.col("dst").alias("lock")).agg(F.min("label").alias("came"))
+            both = rows.select("component", "lock", "label").join(came, ["component", "lock"])  # each node left has a way in
+            return both.select("component", "lock", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("moved"))
+
+        start = left.select("component", F.col("src").alias("lock")).distinct()
+        label = _settled(start.withColumn("label", F.col("lock")), flow, "labels")
+        a, b = label.select("component", F.col("lock").alias("src"), "label"), label.select("component", F.col("lock").alias("dst"), "label")
+        same = settle(left.join(a, ["component", "src"]).join(b, ["component", "dst", "label"]), "same")
+        roots = label.where("lock = label").select("component", "label", "lock")
+        back = same.select("component", "label", F.col("dst").alias("lock"), "src")
+        own = settle(grow(roots, lambda d: d.join(back, ["component", "label", "lock"]).select("component", "label", F.col("src").alias("lock")), name="own"), "own")
+        many = own.groupBy("component", "label").agg(F.count("*").alias("size")).where("size > 1")
+        news = settle(own.join(many, ["component", "label"]).select("component", "lock", F.col("label").alias("rep"), "size"), "strong")
+        found = news if found is None else found.union(news)
+        done = own.select("component", "label", F.col("lock").alias("src"))
+        rest = same.join(done, ["component", "label", "src"], "left_anti").join(done.withColumnRenamed("src", "dst"), ["component", "label", "dst"], "left_anti")
+        left = settle(rest.select("component", "src", "dst"), "left")
+    if found is None:
+        return edges.where("false").select("component", F.col("src").alias("lock"), F.col("src").alias("rep"), F.lit(0).cast("long").alias("size"))
+    return found
 
 
 def inside(edges: DataFrame, scc: DataFrame) -> DataFrame:

@@ -56,9 +56,13 @@ def by_lock(sites: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return counted.withColumn("rank", rank.cast("long")).join(shown, ["component", "lock"])
 
 
-def keep(sites: DataFrame, name: str) -> DataFrame:
-    """Sites whose holder or a lock has ``name`` in it."""
-    return sites.where(F.contains(F.col("m").cast("string"), F.lit(name)) | F.exists("held", lambda h: F.contains(h, F.lit(name))))
+def keep(rows: DataFrame, locks: str, lock: str | None = None, holder: str | None = None) -> DataFrame:
+    """Rows whose method has ``holder`` in its name and a lock of whose column ``locks`` has ``lock``; what isn't given passes."""
+    if lock is not None:
+        rows = rows.where(F.exists(locks, lambda h: F.contains(h, F.lit(lock))))
+    if holder is not None:
+        rows = rows.where(F.contains(F.col("mkey").cast("string"), F.lit(holder)))
+    return rows
 
 
 DIRECTIONS = {"out": "out", "outgoing": "out", "in": "in", "incoming": "in", "both": "both"}

@@ -53,11 +53,13 @@ def violations(found: DataFrame, inferred: DataFrame) -> DataFrame:
     return found.join(inferred.select("component", "field", "accepted"), ["component", "field"]).where(~F.arrays_overlap("guards", "accepted"))
 
 
-def reported(inferred: DataFrame, min_writes: int = MIN_WRITES, min_coverage: int = MIN_COVERAGE, name: str | None = None) -> DataFrame:
-    """Fields with enough writes, enough of them guarded; name: part of the field's or a lock's name."""
+def reported(inferred: DataFrame, min_writes: int = MIN_WRITES, min_coverage: int = MIN_COVERAGE, field: str | None = None, guard: str | None = None) -> DataFrame:
+    """Fields with enough writes, enough of them guarded, with ``field`` in their name and ``guard`` in a lock's."""
     keep: Column = (F.col("writes") >= min_writes) & (F.col("guarded_writes") * 100 >= F.col("writes") * min_coverage)
-    if name is not None:
-        keep = keep & (F.contains("field", F.lit(name)) | F.exists("accepted", lambda g: F.contains(g, F.lit(name))))
+    if field is not None:
+        keep = keep & F.contains("field", F.lit(field))
+    if guard is not None:
+        keep = keep & F.exists("accepted", lambda g: F.contains(g, F.lit(guard)))
     return inferred.where(keep)
 
 

@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(context, "_lockweave_dir", None) or "file://" + tempfile.mkdtemp(prefix="lockweave-")
         context._lockweave_dir = base
     return f"{base.rstrip('/')}/lockweave-{context.applicationId}"

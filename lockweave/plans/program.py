@@ -13,6 +13,7 @@ from lockweave.operators import alias as al
 from lockweave.operators import calls as ca
 from lockweave.operators import flow, fixpoint, graph, ipc, races
 from lockweave.plans.loop import grow, settle
+from lockweave.sources import source_tree
 from lockweave.sources.async_config import SUPERS, AsyncConfig
 from lockweave.sources.disassembly import Facts
 
@@ -273,30 +274,100 @@ class Program:
         counted = self.accesses.join(self.facts.flags.select(F.col("field").alias("plain")), "plain", "left_anti")
         return settle(races.infer(counted).where("writes > 0 and guarded_writes > 0"), "inferred")
 
-    def races(self, min_writes: int = races.MIN_WRITES, min_coverage: int = races.MIN_COVERAGE, name: str | None = None) -> DataFrame:
-        return races.report(self.accesses, races.reported(self.inferred, min_writes, min_coverage, name))
+    def races(self, min_writes: int = races.MIN_WRITES, min_coverage: int = races.MIN_COVERAGE, field: str | None = None, guard: str | None = None) -> DataFrame:
+        return races.report(self.accesses, races.reported(self.inferred, min_writes, min_coverage, field, guard))
 
     # --- evidence
-    def lock_paths(self, starts: DataFrame, lock: str, most: int = 16) -> DataFrame:
-        """m, path: from each start the shortest chain of calls to a method that takes ``lock`` itself."""
-        led = self.resolved(self.fact("acquire").where(~lk.is_opaque(F.col("a"))).select("mkey", "class", F.col("a").alias("lock")), "lock")
-        ends = led.where(lk.name(F.col("lock")) == lock).select(F.col("mkey").alias("m")).distinct()
-        edge = self.sync.select(F.col("mkey").alias("m"), "callee").distinct()
-        live = edge.join(fixpoint.reaching(edge, ends).select(F.col("m").alias("callee")), "callee", "left_semi")
-        return fixpoint.chains(live, starts, ends, most)
-
-    def verify(self, max_locks: int = 6) -> DataFrame:
-        """locks, kind, edges, located, verdict: each candidate's edges and how many have a place or a chain of calls.
-
-        Components of up to ``max_locks`` locks are taken whole; of larger ones the
-        minimal cycles of that size without a common guard.
+    @cached_property
+    def takers(self) -> DataFrame:
+        """lock (name), m: methods that take a lock themselves."""
+        own = self.fact("acquire").where(~lk.is_opaque(F.col("a"))).select("mkey", "class", F.col("a").alias("lock"))
+        return settle(self.resolved(own, "lock").select(lk.name(F.col("lock")).alias("lock"), F.col("mkey").alias("m")).distinct(), "takers")
+
+    def locks(self) -> DataFrame:
+        """lock: the names of all locks that a method takes or an edge has, with or without an order."""
+        ends = self.edges.select(F.explode(F.array("src", "dst")).alias("lock"))
+        return self.takers.select("lock").union(ends).distinct()
+
+    def lock_paths(self, wanted: DataFrame, most: int = 16) -> DataFrame:
+        """lock, m, path of ``wanted`` (lock, m): the shortest chain of calls from a method to one that takes the lock itself.
+
+        All locks at once: a node is a method beside a lock, so that chains to different
+        locks don't mix; a chain has ``most`` steps at most, and who has none no row.
         """
-        small = self.deadlocks().where(F.size("locks") <= max_locks).select("rep", "locks", F.lit("component").alias("kind"))
+        key = lambda m: F.concat_ws("\0", "lock", m)
+        asked = settle(wanted.select("lock", "m").distinct(), "asked")
+        edge = settle(self.sync.select("mkey", "callee").distinct(), "edges")
+        ends = self.takers.join(asked.select("lock").distinct(), "lock", "left_semi")
+        up = grow(ends, lambda d: d.join(edge, d["m"] == edge["callee"]).select("lock", F.col("mkey").alias("m")), most=most, name="leads")
+        live = up.withColumnRenamed("m", "callee").join(edge, "callee").select(key("mkey").alias("m"), key("callee").alias("callee"))
+        ways = fixpoint.chains(live, asked.join(up, ["lock", "m"], "left_semi").select(key("m").alias("m")), ends.select(key("m").alias("m")), most)
+        plain = ways.select(F.split("m", "\0").alias("k"), F.transform("path", lambda x: F.get(F.split(x, "\0"), F.lit(1))).alias("path"))
+        found = plain.select(F.get("k", F.lit(0)).alias("lock"), F.get("k", F.lit(1)).alias("m"), "path")
+        return found.join(self.takers.select("lock", F.col("m").alias("last")), ["lock"]).where(F.element_at("path", -1) == F.col("last")).drop("last")
+
+    def candidates(self, max_locks: int = 6) -> DataFrame:
+        """locks, kind: components of up to ``max_locks`` locks, and of larger ones the minimal cycles of that size without a guard."""
+        small = self.deadlocks().where(F.size("locks") <= max_locks).select("locks", F.lit("component").alias("kind"))
         large = self.deadlocks().where(F.size("locks") > max_locks).select("rep")
-        cut = self.inversions.join(large, "rep", "left_semi").where((F.size("cycle") <= max_locks) & (F.size("guard") == 0)).select("rep", F.col("cycle").alias("locks"), F.lit("inversion").alias("kind"))
-        each = small.union(cut)
-        inside = F.array_contains("locks", F.col("src")) & F.array_contains("locks", F.col("dst"))
-        rows = each.join(self.order_samples().withColumnRenamed("mkey", "m"), inside)
-        whole = rows.groupBy("locks", "kind").agg(F.count("*").alias("edges"), F.count_if(F.col("line").isNotNull()).alias("located"))
+        cut = self.inversions.join(large, "rep", "left_semi").where((F.size("cycle") <= max_locks) & (F.size("guard") == 0)).select(F.col("cycle").alias("locks"), F.lit("inversion").alias("kind"))
+        return small.union(cut)
+
+    def candidate_counts(self, max_locks: int = 6) -> dict[str, int]:
+        """How many candidates there are, and how many inversions a common guard or their size leaves out."""
+        large = self.deadlocks().where(F.size("locks") > max_locks).select("rep")
+        cut = self.inversions.join(large, "rep", "left_semi")
+        left = cut.agg(F.count_if(F.size("guard") > 0).alias("gated"), F.count_if((F.size("guard") == 0) & (F.size("cycle") > max_locks)).alias("oversize")).first()
+        kinds = {r["kind"]: r["count"] for r in self.candidates(max_locks).groupBy("kind").count().collect()}
+        return {"components": kinds.get("component", 0), "inversions": kinds.get("inversion", 0), "gated": left["gated"], "oversize": left["oversize"]}
+
+    def candidate_edges(self, max_locks: int = 6) -> DataFrame:
+        """locks, kind, src, dst, n, m, line: the orders among each candidate's locks, joined by one end."""
+        each = self.candidates(max_locks).select("locks", "kind", F.explode("locks").alias("src"))
+        return each.join(self.order_samples().withColumnRenamed("mkey", "m"), "src").where(F.array_contains("locks", F.col("dst")))
+
+    def located(self, max_locks: int = 6, sources: str | None = None) -> DataFrame:
+        """``candidate_edges`` with path (of calls to where the second lock is taken), file, snippet, late, taken, site.
+
+        With ``sources``, the root of a tree, an order's site counts if the file of the
+        method's class is there; taken is then the first line that takes the lock in the
+        file of the last method's class.  Without, a line number is a site.
+        """
+        edges = settle(self.candidate_edges(max_locks), "candidate_edges")
+        ways = self.lock_paths(edges.where("m is not null").select(F.col("dst").alias("lock"), "m"))
+        rows = settle(edges.join(ways.withColumnRenamed("lock", "dst"), ["dst", "m"], "left"), "ways")
+        none = F.lit(None).cast("string")
+        if sources is None:
+            return rows.withColumns({"file": none, "snippet": none, "late": F.lit(False), "taken": none, "site": F.col("line").isNotNull()})
+        lines = settle(source_tree.index(self.spark, sources), "sources")
+        cls = lambda m: F.regexp_extract(m, r"^(.*)\.[^.:]*(:|$)", 1)
+        keyed = rows.withColumns({"class": cls(F.col("m")), "end": cls(F.element_at("path", -1))})
+        shown = settle(source_tree.evidence(keyed, lines), "shown").withColumn("site", F.col("file").isNotNull() & F.col("line").isNotNull())
+        # where the lock's field is taken in the class that takes it
+        target = F.substring_index(names.lock_target(F.col("dst")), ".", -1)
+        ends = keyed.where("end is not null").select(F.col("end").alias("class"), target.alias("target")).distinct()
+        files = ends.join(source_tree.file_for(ends.select("class"), lines), "class")
+        sites = settle(source_tree.taking(files, lines), "taking").groupBy("class", "target").agg(F.min(F.struct("line_no", "path", "text")).alias("t"))
+        first = sites.select(F.col("class").alias("end"), "target", F.concat(source_tree.relative(F.col("t.path"), sources), F.lit(":"), F.col("t.line_no"), F.lit("  "), F.trim("t.text")).alias("taken"))
+        whole = shown.withColumn("target", target).join(first, ["end", "target"], "left")
+        return settle(whole.withColumn("file", source_tree.relative(F.col("file"), sources)).drop("end", "target", "class"), "located")
+
+    def verify(self, max_locks: int = 6, sources: str | None = None) -> DataFrame:
+        """locks, kind, edges, located, verdict: of each candidate's orders, how many have both a site and a chain of calls."""
+        whole = self.located(max_locks, sources).groupBy("locks", "kind").agg(F.count("*").alias("edges"), F.count_if(F.col("site") & F.col("path").isNotNull()).alias("located"))
         verdict = F.when(F.col("located") >= 2, "both").when(F.col("located") == 1, "one").otherwise("unresolved")
         return whole.withColumn("verdict", verdict)
+
+    def boundary_steps(self, direction: str = "both", lock: str | None = None, holder: str | None = None) -> DataFrame:
+        """m, lock, callee: the steps of the chains that hold a lock towards a transaction, and of those from an entry to a lock it may take."""
+        way = ipc.direction(direction)
+        steps = lambda path, end: F.transform(path, lambda x, i: F.struct(x.alias("m"), F.coalesce(F.get(path, i + 1), end).alias("callee")))
+        parts = []
+        if way != "in":
+            out = ipc.keep(self.outgoing, "held", lock, holder).select(F.get("held", F.lit(0)).alias("lock"), F.explode(steps(F.col("path"), F.lit("transaction"))).alias("s"))
+            parts.append(out.select("s.m", "lock", "s.callee"))
+        if way != "out":
+            asked = ipc.keep(self.incoming(), "locks", lock, holder).select(F.explode("locks").alias("lock"), F.col("mkey").alias("m"))
+            into = self.lock_paths(asked).select("lock", F.explode(steps(F.col("path"), F.col("lock"))).alias("s"))
+            parts.append(into.select("s.m", "lock", "s.callee"))
+        return parts[0] if len(parts) == 1 else parts[0].union(parts[1])

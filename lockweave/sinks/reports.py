@@ -15,7 +15,7 @@ from lockweave.operators import ipc, races
 from lockweave.plans.program import Program
 from lockweave.sinks import profiles
 
-#: Diagrams written for one report, unless names are filtered; edges above which a whole graph isn't drawn.
+#: Findings drawn in one diagram, unless names are filtered; edges above which a whole graph isn't drawn.
 DIAGRAMS, DRAWN = 100, 20_000
 
 
@@ -42,7 +42,7 @@ def deadlocks(p: Program) -> dict:
             inside = sorted(k for k in sample if k[0] in own and k[1] in own)
             ways = sorted(inversions.get(r["rep"], []), key=lambda x: (bool(x["guard"]), len(x["cycle"]), x["cycle"]))
             cycles.append({"locks": r["locks"], "edges": [edge(a, b) for a, b in inside], "inversions": [{"locks": x["cycle"], "edges": [edge(a, b) for a, b in _steps(x["cycle"])], "guard": x["guard"]} for x in ways]})
-    nodes = {n for k in sample for n in k}
+    nodes = {r["lock"] for r in p.locks().collect()}
     return {
         "node_count": len(nodes),
         "edge_count": p.edges.count(),
@@ -54,19 +54,44 @@ def deadlocks(p: Program) -> dict:
     }
 
 
-def boundary(p: Program, direction: str = "both", name: str | None = None) -> dict:
+def boundary(p: Program, direction: str = "both", lock: str | None = None, holder: str | None = None) -> dict:
+    """What both filters let pass: part of a held lock's name, and part of the holder's or entry's."""
     way = ipc.direction(direction)
-    has = lambda *texts: name is None or any(name in t for t in texts)
-    out = [r.asDict() for r in p.outgoing.orderBy("mkey", "line").collect() if has(r["mkey"], *r["held"])] if way != "in" else []
-    into = [r.asDict() for r in p.incoming().orderBy(F.desc("high"), "mkey").collect() if has(r["mkey"], *r["locks"])] if way != "out" else []
+    out = [r.asDict() for r in ipc.keep(p.outgoing, "held", lock, holder).orderBy("mkey", "line").collect()] if way != "in" else []
+    into = [r.asDict() for r in ipc.keep(p.incoming(), "locks", lock, holder).orderBy(F.desc("high"), "mkey").collect()] if way != "out" else []
     return {"outgoing": out, "incoming": into}
 
 
-def fields(p: Program, min_writes: int = races.MIN_WRITES, min_coverage: int = races.MIN_COVERAGE, name: str | None = None) -> dict:
-    rows = p.races(min_writes, min_coverage, name).orderBy(F.desc("bad_writes"), "field").collect()
+def fields(p: Program, min_writes: int = races.MIN_WRITES, min_coverage: int = races.MIN_COVERAGE, field: str | None = None, guard: str | None = None) -> dict:
+    rows = p.races(min_writes, min_coverage, field, guard).orderBy(F.desc("bad_writes"), "field").collect()
     return {"fields": [{"field": r["field"], "guard": r["guard"].replace(",", " | "), "writes": r["writes"], "guarded_writes": r["guarded_writes"], "shown": r["shown"], "violating_writes": r["bad_writes"], "sites": r["sites"].split(",")} for r in rows]}
 
 
+def verified(p: Program, max_locks: int = 6, sources: str | None = None) -> dict:
+    """Candidates with their orders' sites, chains of calls and verdicts, and how many were left out."""
+    cycles: dict[tuple, dict] = {}
+    for r in p.verify(max_locks, sources).orderBy("verdict", "locks").collect():
+        cycles[tuple(r["locks"]), r["kind"]] = {"locks": r["locks"], "kind": r["kind"], "verdict": r["verdict"], "located": r["located"], "edges": []}
+    for r in p.located(max_locks, sources).orderBy("src", "dst").collect():
+        one = {"from": r["src"], "to": r["dst"], "count": r["n"], "sample": r["m"] and f"{r['m']}:{r['line']}", "path": r["path"], "file": r["file"], "snippet": r["snippet"], "late": bool(r["late"]), "taken": r["taken"]}
+        cycles[tuple(r["locks"]), r["kind"]]["edges"].append(one)
+    return {**p.candidate_counts(max_locks), "candidates": list(cycles.values())}
+
+
+def verified_text(report: dict) -> str:
+    out = [f"{report['components']} components and {report['inversions']} inversions; left out: {report['gated']} under a common guard, {report['oversize']} too large", ""]
+    for c in report["candidates"]:
+        out.append(f"{c['verdict']}: {' <-> '.join(sorted(c['locks']))} ({c['located']} of {len(c['edges'])} orders located)")
+        for e in c["edges"]:
+            out.append(f"    {e['from']} -> {e['to']}  x{e['count']}  {e['file'] or ''} {e['sample'] or ''}".rstrip())
+            out += [f"        {line}" for line in (e["snippet"] or "").splitlines()]
+            out += ["        deferred work near by: is the lock held when it runs?"] * e["late"]
+            out.append(f"        calls: {' > '.join(e['path'])}" if e["path"] else "        no chain of calls found")
+            out += [f"        taken at {e['taken']}"] * bool(e["taken"])
+        out.append("")
+    return "\n".join(out)
+
+
 def _quoted(text: str) -> str:
     return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
@@ -135,10 +160,10 @@ def field_dot(report: dict) -> str:
     return dot(steps, {r["field"] for r in report["fields"]}, "fields")
 
 
-def candidate_calls(report: dict, calls: Iterable) -> list[tuple[str, str, str]]:
-    """m, lock, callee of the calls under a lock of a candidate cycle."""
-    cyclic = {n for c in report["cycles"] for n in c["locks"]}
-    return sorted({(e["m"], e["lock"], e["callee"]) for e in calls if e["lock"] in cyclic})
+def candidate_calls(report: dict) -> list[dict]:
+    """m, lock, callee: the steps of the chains between a candidate's locks, under the lock held first."""
+    steps = {(a, e["from"], b) for c in report["candidates"] for e in c["edges"] if e["path"] for a, b in zip(e["path"], [*e["path"][1:], e["to"]], strict=True)}
+    return [{"m": m, "lock": lock, "callee": callee} for m, lock, callee in sorted(steps)]
 
 
 def svg(graph: str, to: Path) -> bool:
@@ -157,10 +182,16 @@ def method_edges(p: Program):
     return ed.method_edges(sites, held).drop("component").collect()
 
 
-def write_all(p: Program, folder: str | Path) -> list[str]:
-    """The deadlock query's artifacts; returns their names."""
+def _written(folder: str | Path, files: dict[str, bytes | str], drawn: dict[str, str]) -> list[str]:
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
+    for name, body in files.items():
+        (folder / name).write_bytes(body if isinstance(body, bytes) else body.encode())
+    return sorted([*files, *[name for name, graph in drawn.items() if svg(graph, folder / name)]])
+
+
+def write_all(p: Program, folder: str | Path) -> list[str]:
+    """The deadlock query's artifacts; returns their names."""
     report = deadlocks(p)
     edges = p.order_samples().collect()
     cyclic = {n for c in report["cycles"] for n in c["locks"]}
@@ -175,8 +206,30 @@ def write_all(p: Program, folder: str | Path) -> list[str]:
         "methods.pb.gz": profiles.method_calls(calls),
         "methods.hprof": profiles.heap(calls),
     }
-    for name, body in files.items():
-        (folder / name).write_bytes(body if isinstance(body, bytes) else body.encode())
-    if len(edges) <= DRAWN and svg(whole, folder / "lockgraph.svg"):
-        files["lockgraph.svg"] = b""
-    return sorted(files)
+    return _written(folder, files, {"lockgraph.svg": whole} if len(edges) <= DRAWN else {})
+
+
+def write_verified(p: Program, folder: str | Path, max_locks: int = 6, sources: str | None = None) -> list[str]:
+    """The verification's artifacts: report, chains of calls, a graph of the candidates."""
+    report = verified(p, max_locks, sources)
+    calls = candidate_calls(report)
+    graph = dot([(e["from"], e["to"], str(e["count"])) for c in report["candidates"] for e in c["edges"]], {n for c in report["candidates"] for n in c["locks"]}, "candidates")
+    files: dict[str, bytes | str] = {"verify.json": json.dumps(report, indent=1), "verify.txt": verified_text(report), "candidates.dot": graph, "candidates.pb.gz": profiles.method_calls(calls), "candidates.hprof": profiles.heap(calls)}
+    return _written(folder, files, {"candidates.svg": graph})
+
+
+def write_boundary(p: Program, folder: str | Path, direction: str = "both", lock: str | None = None, holder: str | None = None) -> list[str]:
+    """The process boundary's artifacts; without a filter only the first ``DIAGRAMS`` findings are drawn."""
+    report = boundary(p, direction, lock, holder)
+    steps = p.boundary_steps(direction, lock, holder).distinct().collect()
+    shown = report if lock or holder else {**report, "outgoing": report["outgoing"][:DIAGRAMS]}
+    graph = boundary_dot(shown)
+    files: dict[str, bytes | str] = {"binder.json": json.dumps(report, indent=1), "binder.md": boundary_markdown(report), "binder.dot": graph, "binder.pb.gz": profiles.method_calls(steps), "binder.hprof": profiles.heap(steps)}
+    return _written(folder, files, {"binder.svg": graph})
+
+
+def write_fields(p: Program, folder: str | Path, min_writes: int = races.MIN_WRITES, min_coverage: int = races.MIN_COVERAGE, field: str | None = None, guard: str | None = None) -> list[str]:
+    """The guarded fields' artifacts; without a filter only the first ``DIAGRAMS`` fields are drawn."""
+    report = fields(p, min_writes, min_coverage, field, guard)
+    graph = field_dot(report if field or guard else {"fields": report["fields"][:DIAGRAMS]})
+    return _written(folder, {"races.json": json.dumps(report, indent=1), "races.md": fields_markdown(report), "races.dot": graph}, {"races.svg": graph})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,29 +30,51 @@ def file_for(classes: DataFrame, paths: DataFrame) -> DataFrame:
     return wanted.join(have, "base").withColumn("r", rank).where("r = 1").select("class", "path")
 
 
+# What takes a lock in a source line; calls near a line that hint at deferred work.
+TAKES = ("synchronized", ".lock(", ".writeLock(", ".readLock(")
+HINTS = (".post(", ".postDelayed(", ".execute(", ".sendMessage")
+
+
+def _any(parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for x in parts:
+        found = found | F.contains("text", F.lit(x))
+    return found
+
+
+def taking(targets: DataFrame, lines: DataFrame) -> DataFrame:
+    """class, target, path, line_no, text: lines of each class's file (class, target, path) that take its target; as ``acquire_sites``, for many."""
+    plain = F.trim("text")
+    code = ~(plain.startswith("//") | plain.startswith("*") | plain.startswith("/*"))
+    some = targets.join(lines.where(code & _any(TAKES)), "path")
+    words = F.split(F.regexp_replace("text", "[^A-Za-z0-9_$]+", " "), " ")
+    return some.where(F.array_contains(words, F.col("target"))).select("class", "target", "path", "line_no", "text")
+
+
+def relative(path: Column, root: str) -> Column:
+    """A file's path below the tree's root, without the scheme."""
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    return F.when(F.startswith(plain, F.lit(root.rstrip("/") + "/")), F.substring(plain, len(root.rstrip("/")) + 2, 1 << 30)).otherwise(plain)
+
+
 def acquire_sites(lines: DataFrame, target: str) -> DataFrame:
-    """Lines that take the lock ``target``: synchronized on it, or its lock called; comments don't count."""
+    """Lines that take the lock ``target``: synchronized on it, or one of its locks called; comments don't count."""
     plain = F.trim("text")
     code = ~(plain.startswith("//") | plain.startswith("*") | plain.startswith("/*"))
-    word = f"(^|[^A-Za-z0-9_$]){target}([^A-Za-z0-9_$]|$)"
-    return lines.where(code & F.col("text").rlike(word) & (F.contains("text", F.lit("synchronized")) | F.col("text").rlike(r"\.(lock|lockInterruptibly|tryLock|acquire)\s*\(")))
+    word = f"(^|[^A-Za-z0-9_$]){re.escape(target)}([^A-Za-z0-9_$]|$)"
+    return lines.where(code & F.col("text").rlike(word) & _any(TAKES))
 
 
-#: Calls near a line that hint at deferred work (fixed values).
-HINTS = ("post(", "postDelayed(", "execute(", "submit(", "sendMessage(", "schedule(")
 
 
 def evidence(samples: DataFrame, lines: DataFrame, before: int = 6, after: int = 3) -> DataFrame:
-    """``samples`` (class, line, and others) with path, snippet and late: the source around each line, and whether it hints at deferred work.
+    """``samples`` (class, line, and others) with file, snippet and late: the source around each line, and whether it hints at deferred work.
 
     Samples without a file or line have null there.
     """
     files = file_for(samples.select("class"), lines)
-    placed = samples.join(files, "class", "left")
-    wanted = placed.where("path is not null and line is not null").select("path", F.col("line").cast("long").alias("site")).distinct()
-    window = wanted.withColumn("line_no", F.explode(F.sequence(F.col("site") - before, F.col("site") + after))).join(lines, ["path", "line_no"])
-    hint = F.lit(False)
-    for h in HINTS:
-        hint = hint | F.contains("text", F.lit(h))
-    shown = window.groupBy("path", "site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("snippet"), F.bool_or(hint).alias("late"))
-    return placed.join(shown, (placed["path"] == shown["path"]) & (placed["line"] == shown["site"]), "left").drop(shown["path"]).drop("site")
+    placed = samples.join(files.withColumnRenamed("path", "file"), "class", "left")
+    wanted = placed.where("file is not null and line is not null").select("file", F.col("line").cast("long").alias("at")).distinct()
+    near = wanted.withColumn("line_no", F.explode(F.sequence(F.col("at") - before, F.col("at") + after))).join(lines.withColumnRenamed("path", "file"), ["file", "line_no"])
+    shown = near.groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("snippet"), F.bool_or(_any(HINTS)).alias("late"))
+    return placed.join(shown.withColumnRenamed("file", "_f"), (F.col("file") == F.col("_f")) & (F.col("line") == F.col("at")), "left").drop("_f", "at")

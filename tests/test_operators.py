@@ -115,10 +115,39 @@ def test_race_ties(spark):
     inferred = races.infer(found)
     assert [(r["accepted"], r["guarded_writes"], r["every"]) for r in inferred.collect()] == [(["B"], 1, False)]
     assert {r["m"] for r in races.violations(found, inferred).collect()} == {0, 3, 4}
-    assert races.reported(inferred).collect() == [] and races.reported(inferred, 1, 0, "B").count() == 1
+    assert races.reported(inferred).collect() == [] and races.reported(inferred, 1, 0, "f", "B").count() == 1 and races.reported(inferred, 1, 0, "f", "A").count() == 0
 
 
 def test_direction():
     assert [ipc.direction(x) for x in ("out", "incoming", "both")] == ["out", "in", "both"]
     with pytest.raises(ValueError):
         ipc.direction("up")
+
+
+def test_strong_components_against_brute_force(spark):
+    """Random graphs of several programs, and a long ring behind a long chain."""
+    import random
+
+    rng = random.Random(4)
+    for n, m in ((12, 20), (30, 45), (0, 0)):
+        edges = {(c, f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for c in ("p", "q") for _ in range(m)}
+        if n == 30:
+            edges |= {("r", f"c{i:02}", f"c{i + 1:02}") for i in range(20)} | {("r", "c20", "c12")}
+        reach = {}
+        for c, a, b in edges:
+            reach.setdefault((c, a), set()).add(b)
+        grown = True
+        while grown:
+            grown = False
+            for (c, _), to in reach.items():
+                new = set().union(*[reach.get((c, b), set()) for b in to]) - to
+                to |= new
+                grown = grown or bool(new)
+        want = set()
+        for (c, a), to in reach.items():
+            own = {b for b in to if a in reach.get((c, b), set())} | {a}
+            if len(own) > 1:
+                want.add((c, a, min(own), len(own)))
+        df = spark.createDataFrame(list(edges), "component string, src string, dst string")
+        got = {(r["component"], r["lock"], r["rep"], r["size"]) for r in graph.strong_components(df).collect()}
+        assert got == want

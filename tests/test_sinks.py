@@ -24,6 +24,19 @@ def test_command_line(spark, tmp_path, capsys):
     body = gzip.decompress((tmp_path / "out" / "lock_order.pb.gz").read_bytes())
     assert b"t.C.A" in body and b"yes" in body
     assert (tmp_path / "out" / "methods.hprof").read_bytes().startswith(b"JAVA PROFILE 1.0.3\0")
+    (tmp_path / "src" / "t").mkdir(parents=True)
+    (tmp_path / "src" / "t" / "C.java").write_text("\n".join(["// synchronized (B)", "class C {", "  synchronized (B) {", "  h.post(run);", "  synchronized (A) {"] + ["x"] * 20))
+    assert cli.main(["verify", str(tmp_path / "in"), "--source-root", str(tmp_path / "src"), "--out", str(tmp_path / "checked")], spark) == 0
+    assert "both: t.C.A <-> t.C.B (2 of 2 orders located)" in capsys.readouterr().out
+    report = json.loads((tmp_path / "checked" / "verify.json").read_text())
+    assert (report["components"], report["inversions"], report["gated"], report["oversize"]) == (1, 0, 0, 0)
+    one, two = report["candidates"][0]["edges"]
+    assert one["path"][-1].startswith("t.C.m1:") and one["file"] == "t/C.java" and one["taken"] == "t/C.java:3  synchronized (B) {"
+    assert two["path"] == [two["path"][0]] and two["taken"].startswith("t/C.java:5 ") and {e["late"] for e in (one, two)} <= {True, False}
+    # without the sources nothing is located
+    (tmp_path / "src" / "t" / "C.java").rename(tmp_path / "src" / "t" / "D.java")
+    assert cli.main(["verify", str(tmp_path / "in"), "--source-root", str(tmp_path / "src")], spark) == 0
+    assert "unresolved: t.C.A <-> t.C.B (0 of 2" in capsys.readouterr().out
 
 
 def test_profile_is_reproducible():
@@ -59,4 +72,5 @@ def test_diagrams():
     assert "**high** `e`: L" in reports.boundary_markdown(out) and "m > n" in reports.boundary_markdown(out)
     races = {"fields": [{"field": "f", "guard": "g", "writes": 3, "guarded_writes": 2, "violating_writes": 1, "sites": ["m:4"]}]}
     assert '"m:4" -> "f"' in reports.field_dot(races) and "2 of 3 writes" in reports.fields_markdown(races)
-    assert reports.candidate_calls({"cycles": [{"locks": ["L"]}]}, [{"m": "a", "lock": "L", "callee": "b"}, {"m": "a", "lock": "M", "callee": "b"}]) == [("a", "L", "b")]
+    report = {"candidates": [{"edges": [{"from": "L", "to": "M", "path": ["a", "b"]}, {"from": "M", "to": "L", "path": None}]}]}
+    assert reports.candidate_calls(report) == [{"m": "a", "lock": "L", "callee": "b"}, {"m": "b", "lock": "L", "callee": "M"}]
