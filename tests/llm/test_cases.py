@@ -124,6 +124,17 @@ def test_line_dedup_against_brute_force(spark):
     assert {r["doc_id"] - (1 << 60): r["text"] for r in line_dedup.dedup(far).collect()} == want
 
 
+def test_line_dedup_large_group(spark, monkeypatch):
+    """Near copies whose likeness to each other is near the bound: pairs stay a few a line, not a group a line."""
+    verify, made, rng = line_dedup.verify, [], random.Random(1500)
+    monkeypatch.setattr(line_dedup, "verify", lambda pairs, *more: made.append(pairs.count()) or verify(pairs, *more))
+    lines = [" ".join(f"b{j}" if rng.random() > 0.09 else f"v{rng.randint(0, 99999)}" for j in range(27)) for _ in range(1500)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    sets = [frozenset(x.split()) for x in lines]
+    assert got == {i: "" if any(jaccard(s, o) >= 0.8 for o in sets[:i]) else lines[i] for i, s in enumerate(sets)}
+    assert sum(made) < 4 * len(lines), made
+
+
 def components(n, linked):
     root = list(range(n))
 
