@@ -94,6 +94,26 @@ def test_dispatch(spark):
     assert got == {1: {"A.f", "B.f", "D.f"}, 2: {"B.f"}, 3: {"A.f"}, 5: {"A.f", "B.f", "D.f"}}
 
 
+def test_candidates_are_counted_without_a_row_each(spark):
+    """As counting ``candidates``; rows that share a site count their union. No join's rows grow as sites times bodies."""
+    methods = spark.createDataFrame([(f"c{i:03}", "fg"[i % 7 == 0], f"c{i:03}") for i in range(200)], "class string, namesig string, mkey string")
+    below = spark.createDataFrame([(f"c{i:03}", t) for i in range(200) for t in ("A", "B", "Z") if t != "B" or i < 90], "sub string, sup string")
+    live = spark.createDataFrame([(f"c{i:03}",) for i in range(0, 200, 2)] * 2, "class string")
+    sites = spark.createDataFrame([(i, "ABN"[i % 3], "fgh"[i % 4 % 3]) for i in range(400)] + [(7, "A", "f"), (7, "B", "f"), (8, None, "f"), (900, "A", None)], "site long, declared string, namesig string")
+    got = calls.candidate_counts(sites, methods, below, live)
+    want = calls.candidates(sites, methods, below, live).groupBy("site").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    ours, sums = [got._jdf.queryExecution().executedPlan()], []
+    got.collect()
+    while ours:
+        node = ours.pop()
+        kids = node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        ours += [kids] if kids else [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            sums.append(node.metrics().apply("numOutputRows").value())
+    assert sums and max(sums) < 1200
+
+
 def test_alias_chains(spark):
     got = alias.follow(spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(9)] + [("x", "x")], "name string, target string")).collect()
     assert {(r["name"], r["target"]) for r in got} == {(f"a{i}", f"a{min(i + 6, 9)}") for i in range(9)}
