@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lockweave.functions import names
 from lockweave.operators import alias, calls, fixpoint, graph, held, ipc, races
+from lockweave.operators import edges as ed
+from lockweave.plans.loop import grow, settle
 
 
 def edges(spark, pairs):
@@ -75,6 +77,45 @@ def test_must_entry_against_meet(spark):
         assert {(r["m"], r["lock"]) for r in got.collect()} == {(m, k) for m, ks in must.items() for k in ks or ()}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settled_tables_stay_off_the_driver(spark):
+    """Rounds and what reads their tables shuffle: small files don't make them broadcast."""
+    edge = settle(spark.createDataFrame([(i, i, i + 1) for i in range(6)], "call long, m long, callee long"))
+    seen = []
+
+    def step(delta):
+        news = delta.join(edge, "m").select(F.col("callee").alias("m"))
+        seen.append(_plan(news))
+        return news
+
+    assert grow(spark.createDataFrame([(0,)], "m long"), step).count() == 7
+    have = settle(spark.createDataFrame([(i, k) for i in range(6) for k in "XY"], "call long, held string"))
+    methods = settle(spark.createDataFrame([(i,) for i in range(7)], "m long"))
+    must = fixpoint.must_entry(methods, edge, have, methods.where("m = 0"))
+    assert must.count() == 12
+    again = guarded_by(spark, settle(must))
+    assert all("Broadcast" not in x for x in [*seen, _plan(must), _plan(again)])
+
+
+def guarded_by(spark, must):
+    acc = settle(spark.createDataFrame([("", 1, 5, "f", True)], "component string, m long, off long, field string, write boolean"))
+    got = races.guarded(acc, settle(spark.createDataFrame([(1, 5, "Z")], "m long, off long, held string")), must)
+    assert [r["guards"] for r in got.collect()] == [["X", "Y", "Z"]]
+    return got
+
+
+def test_edges_by_calls_stay_off_the_driver(spark):
+    sites = settle(spark.createDataFrame([("", 1, 1, 9, 2)], "component string, call long, m long, line long, callee long"))
+    have = settle(spark.createDataFrame([(1, "A"), (1, "B")], "call long, held string"))
+    may = settle(spark.createDataFrame([(2, "B"), (2, "C"), (2, "D")], "m long, lock string"))
+    must = settle(spark.createDataFrame([(1, "D")], "m long, lock string"))
+    got = ed.interprocedural(sites, have, may, must)
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == [("A", "C"), ("B", "C")] and "Broadcast" not in _plan(got)
+
+
 def test_deferring_calls(spark):
     below = spark.createDataFrame([("My", "Base"), ("Sub", "My"), ("Sub", "Base")], "sub string, sup string")
     sites = spark.createDataFrame([(1, "My", "post"), (2, "Sub", "post"), (3, "Base", "post"), (4, "Sub", "other"), (5, "Else", "post")], "site long, declared string, name string")
