@@ -8,17 +8,24 @@ as often as it is taken on every way in).  Facts come out as one wide table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockweave.plans.loop import ship
+from lockweave.plans.loop import bounded
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 #: Access bit of static methods; names and calls of explicit locks.
 STATIC = 0x8
 LOCK_TYPES = ("Lock", "ReentrantLock", "ReentrantReadWriteLock", "ReadLock", "WriteLock")
 TAKING, TRYING, LEAVING = ("lock", "lockInterruptibly", "acquire", "acquireUninterruptibly"), ("tryLock", "tryAcquire"), ("unlock", "release")
 
+#: Facts that a worker holds before it hands them on.
+OUT = 4096
+
 FACTS = (
     "mkey string, class string, fact string, seq int, a string, b string, c string, line int, flag boolean, list array<string>, args array<string>"
 )
@@ -258,13 +265,35 @@ def method_facts(m: dict) -> Iterator[tuple]:
         yield "value", None, _text(returned[0]), None, None, None, None, None, None
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], most: int = OUT) -> Iterator[pa.RecordBatch]:
+    """The facts of the methods in ``batches``: one method is unpacked at a time, and ``most`` facts are held."""
+    import json
+
+    import pyarrow as pa
+
+    names = ["mkey", "class", "fact", "seq", "a", "b", "c", "line", "flag", "list", "args"]
+    types = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 3 + [pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
+    rows: list[tuple] = []
+    packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            m = batch.slice(i, 1).to_pylist()[0]
+            for x in m["insns"] or []:
+                x["args"] = json.loads(x["args"]) if x["args"] else None
+            for r in method_facts(m):
+                rows.append((m["mkey"], m["class"], *r))
+                if len(rows) >= most:
+                    yield packed()
+                    rows = []
+    if rows:
+        yield packed()
+
+
 def facts(methods: DataFrame, insns: DataFrame, positions: DataFrame, catches: DataFrame, getters: DataFrame | None = None) -> DataFrame:
     """All methods' facts; ``insns`` with effect; ``getters``: mkey, a (the value a method returns).
 
     A key that several methods have is the first one's.
     """
-    import pyarrow as pa
-
     from lockweave.functions.names import first_wins
 
     own = first_wins(methods, ["mkey"], "ord").select("mkey", "ord", "class", "name", "access", "registers", "ins")
@@ -281,19 +310,4 @@ def facts(methods: DataFrame, insns: DataFrame, positions: DataFrame, catches: D
     ranges = by(catches, "lo", "hi", "handler").withColumnRenamed("rows", "catches")
     whole = own.join(body, ["mkey", "ord"], "left").join(places, ["mkey", "ord"], "left").join(ranges, ["mkey", "ord"], "left").drop("ord")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        names = ["mkey", "class", "fact", "seq", "a", "b", "c", "line", "flag", "list", "args"]
-        types = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 3 + [pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
-        for batch in batches:
-            rows = []
-            for m in batch.to_pylist():
-                for x in m["insns"] or []:
-                    x["args"] = json.loads(x["args"]) if x["args"] else None
-                rows += [(m["mkey"], m["class"], *r) for r in method_facts(m)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    ship(methods.sparkSession)
-    return whole.mapInArrow(run, FACTS)
+    return bounded(whole).mapInArrow(in_pieces, FACTS)
