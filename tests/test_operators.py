@@ -212,3 +212,24 @@ def test_strong_components_against_brute_force(spark):
         df = spark.createDataFrame(list(edges), "component string, src string, dst string")
         got = {(r["component"], r["lock"], r["rep"], r["size"]) for r in graph.strong_components(df).collect()}
         assert got == want
+
+
+def test_small_components_take_no_rounds(spark, monkeypatch):
+    """Many programs of few locks are settled at once; larger ones in rounds, with the same result as packed."""
+    rng = random.Random(8)
+    pairs = {(f"p{c}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for c in range(30) for _ in range(11)}
+    pairs |= {("wide", f"w{i:02}", f"w{(i + 1) % 63:02}") for i in range(63)} | {("full", f"f{i}", f"f{j}") for i in range(8) for j in range(8)}
+    small = spark.createDataFrame(list(pairs), "component string, src string, dst string")
+    names, keep = [], graph.settle
+
+    def noted(df, name="round"):
+        names.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(graph, "settle", noted)
+    got = {tuple(r) for r in graph.strong_components(small).collect()}
+    assert len(names) <= 5 and {("wide", f"w{i:02}", "w00", 63) for i in range(63)} | {("full", f"f{i}", "f0", 8) for i in range(8)} <= got
+    monkeypatch.setattr(graph, "PACKED", 7)
+    some = ["full", *[f"p{i}" for i in range(20)]]
+    assert {tuple(r) for r in graph.strong_components(small.where(F.col("component").isin(some))).collect()} == {r for r in got if r[0] in some}
+    assert "labels" in names
